@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, license_scan, quality_ranker, sentencepiece_bpe, simhash
+from . import ball_tree, decision_list, license_scan, pfair, quality_ranker, secrets, sentencepiece_bpe, simhash
 from .common import table
 
 
@@ -17,10 +17,24 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ball_tree.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return ball_tree.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return pfair.scheduled(docs).select("doc_id", "source", F.col("_rank").alias("rank_in_source"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_place").alias("place"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranker = quality_ranker.fit_ranker(docs, table(spark, sf_dir, "labels"))
@@ -44,7 +58,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_top_k": op2_top_k,
+        "op3_source_mix": op3_source_mix,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_secret_scan": op5_secret_scan,
         "op6_quality_classifier": op6_quality_classifier,
         "op8_simhash": op8_simhash,
         "op9_quality_rules": op9_quality_rules,
