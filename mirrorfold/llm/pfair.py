@@ -141,7 +141,7 @@ def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, sourc
     ranked = dealt.withColumn("_within", within).join(F.broadcast(offsets), ["_source", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_within") - 1).withColumn("_block", F.floor(F.col("_rank") / F.lit(block)).cast("long"))
 
     rows = []
-    for p, nxt in zip(plan, [*plan[1:], None], strict=True):
+    for p, nxt in zip(plan, [*plan[1:], None], strict=False):
         for s, slots in p.slots.items():
             until = nxt.first[s] if nxt is not None and s in nxt.first else -(-counts[s] // block)
             if until > p.first[s]:
