@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, decision_list, license_scan, pfair, quality_ranker, secrets, sentencepiece_bpe, simhash, warc
+from . import ball_tree, decision_list, license_scan, pfair, quality_ranker, secrets, sentencepiece_bpe, simhash, suffix_dedup, warc
 from .common import materialized, table
 
 
@@ -55,6 +55,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_ranker.held_out().alias("held_out"), "score", (F.col("score") >= quality_ranker.CUT).cast("int").alias("predicted"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sentencepiece": op4_sentencepiece,
         "op5_secret_scan": op5_secret_scan,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_simhash": op8_simhash,
         "op9_quality_rules": op9_quality_rules,
         "op10_license_scan": op10_license_scan,
