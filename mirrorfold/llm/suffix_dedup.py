@@ -12,8 +12,9 @@
    in two are merged by binary search in the sorted windows of the earlier shard.
 4. An anchor with more than ``HOT`` distinct contexts is split, not sent to one task: of its windows, those with
    the anchor in the right half share more bytes to the left of it, the others more to the right of it, so the
-   contexts are grouped anew by those bytes, and so on until groups are small or the shared bytes are a whole
-   window. A common line thus falls apart into its neighbourhoods in at most eight steps.
+   contexts are grouped anew by those bytes, and so on until groups are small. What is equal in all windows of a
+   group is counted there and goes on once. A common line thus falls apart into its neighbourhoods in eight
+   steps at most, for in a group of one window all are equal.
 
 Every decision is on the input, whole texts, at any size; nothing is dropped or capped.
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialized
+from .common import materialized, sized_join
 
 LENGTH, GRAM = 200, 64
 #: Distinct contexts of an anchor that go to one task at most.
@@ -300,28 +301,33 @@ def _split_hot(hot: DataFrame, length: int, gram: int, limit: int) -> tuple[list
     """Small groups (g, ctx, wins, n, kd, kt, lo) and repeated windows (kd, kt, s, e) of the hot anchors.
 
     A group holds windows with the anchor ``oa`` to ``ob`` bytes after their start, which share the bytes from
-    oa before the anchor to length - ob after its start.
+    oa before the anchor to length - ob after its start. Contexts whose windows in a group are the same
+    altogether repeat, and one of them goes on for all, so what many share goes no further down.
     """
     small, whole = [], []
+    row = ["ctx", "wins", "n", "kd", "kt", "lo", "off", "oa", "ob", "fa", "fb"]
     level = hot.withColumns({"oa": F.lit(0), "ob": F.lit(length - gram)})
     while True:
         shared = F.substring("ctx", F.col("off") - F.col("oa") + 1, F.lit(length) - F.col("ob") + F.col("oa"))
-        level = materialized(level.withColumn("g", F.concat_ws(":", F.md5(shared), "oa", "ob")), "hot-contexts")
-        sizes = level.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
-        sized = materialized(level.join(sizes, "g"), "hot-groups")
         first, last = F.greatest(F.col("off") - F.col("ob"), F.lit(0)), F.least(F.col("off") - F.col("oa"), F.col("wins") - 1)
-        fits = sized.where(F.col("m") <= limit).withColumns({"fa": first, "fb": last})
-        small.append(fits.select("g", F.substring("ctx", F.col("fa") + 1, F.col("fb") - F.col("fa") + length).alias("ctx"), (F.col("fb") - F.col("fa") + 1).alias("wins"), "n", "kd", "kt", (F.col("lo") + F.col("fa")).alias("lo")))
-        rest = sized.where(F.col("m") > limit)
-        at = F.col("lo") + F.col("off") - F.col("oa")
-        whole.append(rest.where("oa = ob AND n = 1").select("kd", "kt", at.alias("s"), (at + length).alias("e")))
-        rest = rest.where("oa < ob").drop("g", "m")
+        own = F.substring("ctx", F.col("fa") + 1, F.col("fb") - F.col("fa") + length)
+        level = level.withColumns({"fa": first, "fb": last}).withColumns({"g": F.concat_ws(":", F.md5(shared), "oa", "ob"), "own": F.concat_ws(":", F.md5(own), F.col("off") - F.col("fa"))})
+        level = materialized(level.select("g", "own", *row), "hot-contexts")
+        same = level.groupBy("g", "own").agg(F.count("*").alias("k"), F.first(F.struct(*row)).alias("r"))
+        same = materialized(same.select("g", "own", "k", *(f"r.{c}" for c in row)).withColumn("n", F.when(F.col("k") > 1, F.lit(2)).otherwise(F.col("n"))), "hot-classes")
+        again = level.where("n = 1").join(same.where("k > 1").select("g", "own"), ["g", "own"], "left_semi")
+        whole.append(again.select("kd", "kt", (F.col("lo") + F.col("fa")).alias("s"), (F.col("lo") + F.col("fb") + length).alias("e")))
+        sizes = same.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
+        sized = materialized(sized_join(same, materialized(sizes, "hot-sizes"), ["g"], "inner").drop("own", "k"), "hot-groups")
+        fits = sized.where(F.col("m") <= limit)
+        small.append(fits.select("g", own.alias("ctx"), (F.col("fb") - F.col("fa") + 1).alias("wins"), "n", "kd", "kt", (F.col("lo") + F.col("fa")).alias("lo")))
+        rest = sized.where(F.col("m") > limit).drop("g", "m", "fa", "fb")
+        if rest.isEmpty():
+            return small, whole
         mid = F.floor((F.col("oa") + F.col("ob")) / 2).cast("int")
         left = rest.withColumn("oa", mid + 1).where(F.col("off") >= F.col("oa"))
         right = rest.withColumn("ob", mid).where(F.col("off") - F.col("wins") + 1 <= F.col("ob"))
         level = left.unionByName(right)
-        if rest.isEmpty():
-            return small, whole
 
 
 def _by_suffix_arrays(groups: DataFrame, length: int, shard: int) -> DataFrame:
@@ -351,11 +357,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     keyed = _keyed(docs)
     found = materialized(_found_anchors(keyed, length, gram), "anchors")
     twice = found.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
-    shared = materialized(found.join(twice, "a", "left_semi"), "shared-anchors")
+    shared = materialized(sized_join(found, materialized(twice, "repeated-grams"), ["a"], "left_semi"), "shared-anchors")
     place = F.min(F.struct("kd", "kt", "lo", "wins", "off")).alias("p")
     contexts = materialized(shared.groupBy("a", "c").agg(F.count("*").alias("n"), place), "contexts")
     several = contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
-    compared = contexts.join(several, "a").select("a", (F.col("m") > hot).alias("many"), "n", "p.*")
+    compared = sized_join(contexts, materialized(several, "several-contexts"), ["a"], "inner").select("a", (F.col("m") > hot).alias("many"), "n", "p.*")
     bytes_ = materialized(_contexts(keyed, compared, length), "context-bytes")
     small, whole = [bytes_.where("NOT many").select(F.col("a").cast("string").alias("g"), "ctx", "wins", "n", "kd", "kt", "lo")], []
     many = bytes_.where("many")
