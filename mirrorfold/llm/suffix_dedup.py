@@ -41,7 +41,7 @@ LENGTH, GRAM = 200, 64
 #: Distinct contexts of an anchor that go to one task at most.
 HOT = 256
 #: Bytes in one suffix array, and bytes of a text that are hashed at once.
-SHARD, CHUNK = 4 << 20, 4 << 20
+SHARD, CHUNK = 1 << 20, 1 << 20
 NO_ID = -(1 << 63)
 
 _MIX = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
