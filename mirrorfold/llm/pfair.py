@@ -27,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialized
+
 #: Documents in a block, slots in a period, and rows ranked in one bucket.
 BLOCK, PERIOD, BUCKET = 64, 1000, 400
-#: Buckets at most: with more rows, buckets grow instead.
+#: Buckets at most: with more rows, buckets grow instead. Rows in the table of cuts at most.
 BUCKETS = 20_000
+MOST_CUTS = 200_000
 
 
 def quotas(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -108,55 +111,120 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int
     return out
 
 
-def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """``docs`` with _source, _rank (within it, from 0), _block (from 0), _slot and _place (_slot * block + place in the block).
+@dataclass(frozen=True)
+class Plan:
+    """A schedule for given numbers of documents: what the driver knows of it, and the tables for the executors.
 
-    Without weights, sources get the square root of their number of documents. One row per source goes to the
-    driver. What is sent to the executors has at most ``period`` rows per phase, and ``BUCKETS`` offsets.
+    ``buckets`` (_source, _buckets) has a row per source, ``lookup`` one per source and phase.
     """
+
+    total: int
+    sources: int
+    blocks: int
+    buckets: DataFrame
+    lookup: DataFrame
+
+
+def _source_name(source: str) -> F.Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
+def _order(columns: list[str], source: str) -> F.Column:
+    """Place of a row within its source: a hash, not negative."""
+    return F.shiftrightunsigned(F.xxhash64(*(F.col(c) for c in columns if c in ("doc_id", source))), 1)
+
+
+def plan(docs: DataFrame, weights: Mapping[str, float] | None, source: str, block: int, period: int) -> Plan:
     spark = docs.sparkSession
-    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    counts = {r["s"]: r["n"] for r in docs.groupBy(name.alias("s")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["s"]: r["n"] for r in docs.groupBy(_source_name(source).alias("s")).agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     if weights is None:
         given = {s: n**0.5 for s, n in counts.items()}
     else:
-        given = {s: float(weights[s[1:]]) for s in counts if s[1:] in weights and s}
+        given = {s: float(weights[s[1:]]) for s in counts if s and s[1:] in weights}
         least = min([w for w in given.values() if w > 0], default=1.0)
         given = {s: given.get(s, least) if given.get(s, least) > 0 else least for s in counts}
-    plan = phases({s: -(-n // block) for s, n in counts.items()}, given, period)
-
-    per_bucket = max(BUCKET, -(-total // BUCKETS))
-    buckets = {s: -(-n // per_bucket) for s, n in counts.items()}
-    many = spark.createDataFrame([(s, b) for s, b in buckets.items()], "_source string, _buckets int")
-    columns = [c for c in docs.columns if c not in ("_source", "_bucket", "_buckets", "_rank", "_block", "_slot", "_place", "_order", "_before")]
-    key = F.xxhash64(*(F.col(c) for c in columns if c in ("doc_id", source)))
-    dealt = docs.select(*columns, name.alias("_source"), key.alias("_order")).join(F.broadcast(many), "_source").withColumn("_bucket", F.pmod("_order", "_buckets"))
-    sizes = dealt.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    # At most BUCKETS rows and one per source: small enough to send.
-    before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_source", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    ties = ["_order", *(c for c in ("doc_id",) if c in columns)]
-    within = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy(*ties))
-    ranked = dealt.withColumn("_within", within).join(F.broadcast(offsets), ["_source", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_within") - 1).withColumn("_block", F.floor(F.col("_rank") / F.lit(block)).cast("long"))
-
+    steps = phases({s: -(-n // block) for s, n in counts.items()}, given, period)
     rows = []
-    for p, nxt in zip(plan, [*plan[1:], None], strict=False):
+    for p, nxt in zip(steps, [*steps[1:], None], strict=False):
         for s, slots in p.slots.items():
             until = nxt.first[s] if nxt is not None and s in nxt.first else -(-counts[s] // block)
             if until > p.first[s]:
                 rows.append((s, p.first[s], until, p.start, p.period, slots))
-    lookup = spark.createDataFrame(rows, "_source string, _from long, _until long, _start long, _period long, _slots array<int>") if rows else spark.createDataFrame([], "_source string, _from long, _until long, _start long, _period long, _slots array<int>")
-    placed = ranked.join(F.broadcast(lookup), (ranked["_source"] == lookup["_source"]) & (F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_until"))).drop(lookup["_source"])
+    per_bucket = max(BUCKET, -(-total // BUCKETS))
+    buckets = spark.createDataFrame([(s, -(-n // per_bucket)) for s, n in counts.items()], "_source string, _buckets long")
+    lookup = spark.createDataFrame(rows, "_source string, _from long, _until long, _start long, _period long, _slots array<int>")
+    return Plan(total, len(counts), sum(-(-n // block) for n in counts.values()), buckets, lookup)
+
+
+def _bucketed(docs: DataFrame, columns: list[str], p: Plan, source: str) -> DataFrame:
+    """Buckets are ranges of the order, so ranks rise from bucket to bucket."""
+    dealt = docs.select(*columns, _source_name(source).alias("_source"), _order(columns, source).alias("_order")).join(F.broadcast(p.buckets), "_source")
+    # The upper 31 of 63 bits, scaled to the number of buckets.
+    return dealt.withColumn("_bucket", F.shiftright(F.shiftright("_order", 32) * F.col("_buckets"), 31)).drop("_buckets")
+
+
+def _placed(ranked: DataFrame, p: Plan, block: int) -> DataFrame:
+    """Adds _block, _slot and _place to rows with _source and _rank."""
+    b = ranked.withColumn("_block", F.floor(F.col("_rank") / F.lit(block)).cast("long"))
+    look = p.lookup.withColumnRenamed("_source", "_s")
+    b = b.join(F.broadcast(look), (F.col("_source") == F.col("_s")) & (F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_until"))).drop("_s")
     i = F.col("_block") - F.col("_from")
     e = F.size("_slots")
     slot = F.col("_start") + F.floor(i / e).cast("long") * F.col("_period") + F.element_at("_slots", (i % e + 1).cast("int"))
-    return placed.withColumn("_slot", slot.cast("long")).withColumn("_place", F.col("_slot") * block + F.col("_rank") % block).select(*columns, "_source", "_rank", "_block", "_slot", "_place")
+    out = b.withColumn("_slot", slot.cast("long")).withColumn("_place", F.col("_slot") * block + F.col("_rank") % block)
+    return out.drop("_from", "_until", "_start", "_period", "_slots")
+
+
+OWN = ("_source", "_bucket", "_buckets", "_order", "_before", "_first", "_rank", "_block", "_slot", "_place", "_part", "_r0")
+
+
+def _ranked(docs: DataFrame, columns: list[str], p: Plan, source: str) -> DataFrame:
+    """Rows with _rank within their source, and _first, the rank of the first row of the same order."""
+    dealt = _bucketed(docs, columns, p, source)
+    sizes = dealt.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
+    # At most BUCKETS rows and one per source: small enough to send.
+    before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_source", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_source", "_bucket").orderBy("_order")
+    within = dealt.withColumns({"_rank": F.row_number().over(w), "_first": F.rank().over(w)}).join(F.broadcast(offsets), ["_source", "_bucket"])
+    return within.withColumns({"_rank": F.col("_before") + F.col("_rank") - 1, "_first": F.col("_before") + F.col("_first") - 1}).drop("_before")
 
 
-def interleaved(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
-    """The same rows and columns, in the order of the schedule: partitions in order, and rows in order within each."""
-    columns = dict.fromkeys([c for c in ("doc_id", options.get("source", "source")) if c in docs.columns])
-    packed = docs.select(*columns, F.struct(*docs.columns).alias("_row"))
-    placed = scheduled(packed, weights, **options).select("_row", "_place")
-    return placed.repartitionByRange("_place").sortWithinPartitions("_place").select("_row.*")
+def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """``docs`` with _source, _rank (within it, from 0), _block (from 0), _slot and _place (_slot * block + place in the block).
+
+    Without weights, sources get the square root of their number of documents. One row per source goes to the
+    driver. What is sent to the executors has at most ``period`` slots per phase, and ``BUCKETS`` offsets.
+    """
+    columns = [c for c in docs.columns if c not in OWN]
+    p = plan(docs, weights, source, block, period)
+    return _placed(_ranked(docs, columns, p, source), p, block).select(*columns, "_source", "_rank", "_block", "_slot", "_place")
+
+
+def interleaved(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """The same rows and columns, in the order of the schedule: partitions in order, and rows in order within each.
+
+    The schedule is made on ids and sources alone. It says at which order within its source a row belongs to
+    which partition, and with that table whole rows are shuffled once, straight to their partition.
+    """
+    spark = docs.sparkSession
+    keys = [c for c in ("doc_id", source) if c in docs.columns]
+    p = plan(docs, weights, source, block, period)
+    if not p.total:
+        return docs
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_CUTS // p.sources))
+    slim = _placed(_ranked(docs.select(*keys), keys, p, source), p, block)
+    part = F.floor(F.col("_place") * parts / F.lit(p.blocks * block)).cast("int")
+    cuts = slim.groupBy("_source", part.alias("_part")).agg(F.min(F.struct("_order", "_first")).alias("c"))
+    cuts = cuts.groupBy("_source", "c").agg(F.max("_part").alias("_part"))  # rows of one order stay together
+    until = F.lead("_lo").over(Window.partitionBy("_source").orderBy("_lo"))
+    cuts = cuts.select(F.col("_source").alias("_s"), "_part", F.col("c._order").alias("_lo"), F.col("c._first").alias("_r0"))
+    cuts = cuts.select("_s", "_part", "_lo", "_r0", F.col("_s").alias("_source")).withColumn("_hi", until).drop("_source")
+    cuts = materialized(cuts, "cuts")  # at most MOST_CUTS rows
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), _source_name(source).alias("_source"), _order(keys, source).alias("_order"))
+    inside = (F.col("_source") == F.col("_s")) & (F.col("_order") >= F.col("_lo")) & (F.col("_hi").isNull() | (F.col("_order") < F.col("_hi")))
+    dealt = rows.join(F.broadcast(cuts), inside).select("_row", "_source", "_order", "_part", "_r0").repartitionById(parts, F.col("_part"))
+    within = F.row_number().over(Window.partitionBy("_part", "_source").orderBy("_order"))
+    placed = _placed(dealt.withColumn("_rank", F.col("_r0") + within - 1), p, block)
+    return placed.sortWithinPartitions("_place").select("_row.*")

@@ -99,5 +99,7 @@ def test_all_rows_come_out_once_in_order(spark, tmp_path):
     back = [v for p in sorted((tmp_path / "mixed").glob("part-*")) for v in pq.read_table(p, columns=["source"]).column(0).to_pylist()]
     assert back == order
     assert sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
+    many = docs.unionByName(spark.createDataFrame([(7, "big", "same", "row")] * 400, docs.schema))  # rows that can't be told apart
+    assert sorted(map(repr, pfair.interleaved(many, block=3).collect())) == sorted(map(repr, many.collect()))
     assert pfair.scheduled(docs.where("false")).count() == 0
     assert pfair.interleaved(docs.where("false")).count() == 0
