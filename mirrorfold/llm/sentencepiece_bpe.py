@@ -18,7 +18,7 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Words whose encoding a Python worker remembers; the store is emptied when full.
-MEMO = 1_000_000
+#: Words whose encoding a Python worker remembers, in each of two generations.
+MEMO = 500_000
 REPLACEMENT = "�".encode()
 
 
@@ -71,8 +71,7 @@ class PieceModel:
         self.byte_fallback = proto.trainer_spec.byte_fallback
         self.bos, self.eos = proto.trainer_spec.bos_id, proto.trainer_spec.eos_id
         self.piece = {i: p for p, i in self.ids.items()}
-        # Entries that start with a mark and hold none after a letter let the text be cut before each run of marks.
-        self.by_words = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
+        self.cut = _cut_pattern(self.ids)
         if any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("a piece holds a character that is no piece")
         self.automaton = ahocorasick.Automaton()
@@ -81,6 +80,7 @@ class PieceModel:
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging: always the pair of the best score, of equals the leftmost."""
@@ -167,23 +167,20 @@ class PieceModel:
         if not text:
             return b""
         marked = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-        if not self.by_words:
+        if self.cut is None:
             ids = self.backtrack(marked)
             return struct.pack(f"<{len(ids)}I", *ids)
-        memo = self.memo
-        words = WORD.findall(marked)
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
+        memo, known = self.memo, self.memo.get
         out = []
-        for w in words:
-            if (x := memo.get(w)) is None:
-                ids = self.backtrack(w)
-                x = struct.pack(f"<{len(ids)}I", *ids)
+        for w in self.cut.findall(marked):
+            if (x := known(w)) is None:
+                if (x := self.older.get(w)) is None:
+                    ids = self.backtrack(w)
+                    x = struct.pack(f"<{len(ids)}I", *ids)
                 if len(w) <= 64:
                     if len(memo) >= MEMO:
-                        memo.clear()
+                        self.older, self.memo = memo, {}
+                        memo, known = self.memo, self.memo.get
                     memo[w] = x
             out.append(x)
         return b"".join(out)
@@ -226,7 +223,25 @@ class PieceModel:
         return self._decoded
 
 
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+def _cut_pattern(pieces: Iterable[str]) -> re.Pattern | None:
+    """Parts of a marked text between which no piece of the vocabulary reaches, so that no merge does either.
+
+    A part is a run of marks with the letters, or the other characters, that follow it; where pieces mix letters
+    with others, with all that follows up to the next mark; None where pieces hold marks further inside.
+    """
+    if any(SPACE in p.lstrip(SPACE) for p in pieces):
+        return None
+    odd = {c for p in pieces for c in p if LETTER.match(c) and not c.isalpha()}
+    letter = f"[^\\W\\d_{re.escape(''.join(sorted(odd)))}]"
+    alpha = re.compile(letter)
+    for p in pieces:
+        kinds = {bool(alpha.match(c)) for c in p if c != SPACE}
+        if len(kinds) > 1:
+            return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+    return re.compile(f"{SPACE}*(?:{letter}+|(?:(?!{letter})[^{SPACE}])+)|{SPACE}+")
+
+
+LETTER = re.compile(r"[^\W\d_]")
 
 
 def lenient(raw: bytes) -> bytes:
