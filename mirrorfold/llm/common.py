@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows of known width is broadcast; beyond it the join is shuffled.
+#: A side of at most this size is broadcast, as by Spark's own default; beyond it the join is shuffled.
+BROADCAST_BYTES = 10 << 20
+#: Labelled documents that are sent to look up their texts.
 BROADCAST_ROWS = 20_000
 
 
@@ -37,12 +39,18 @@ def materialized(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_bytes(df: DataFrame) -> int:
+    """Upper estimate of a row's size in a hash relation, for columns of fixed size and for digests."""
+    widths = {"boolean": 8, "int": 8, "bigint": 8, "double": 8, "string": 80, "binary": 48}
+    return 32 + sum(widths.get(t, 160) for _, t in df.dtypes)
+
+
 def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join with a stored ``right``: broadcast if its counted rows are few, else shuffled with skew splitting.
+    """Join with a stored ``right``: broadcast if its counted rows are small, else shuffled with skew splitting.
 
     ``right`` has one row per key, so adaptive execution can split a hot key of ``left``.
     """
-    if right.count() <= BROADCAST_ROWS:
+    if right.count() * row_bytes(right) <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)
     return left.join(right.hint("merge"), on, how)
 
