@@ -1,9 +1,8 @@
 """Duplicate groups: by size, by quick fingerprint, by full hash.
 
-Groups are found by grouping with partial counts, and members by joining back to the slim group table, which
-Spark broadcasts while it is small by measured size and otherwise shuffles with skew splitting. A digest that a
-third of all files share thus never gathers in one task. Content is hashed where it is read; only paths, sizes
-and digests are ever shuffled.
+Groups are found by grouping with partial counts, and members by joining back to the slim group table, in which
+hot keys are spread over tasks. A digest that a third of all files share thus never gathers in one task. Content
+is hashed where it is read; only paths, sizes and digests are ever shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..config import EngineConfig
 from ..functions.hashing import full_hash, has_hash, quick_hash
+from .joins import spread_join
 
 SLIM = ["path", "name", "folder", "size", "last_modified"]
 
@@ -25,7 +25,7 @@ def duplicate_sizes(files: DataFrame) -> DataFrame:
 
 def size_candidates(files: DataFrame) -> DataFrame:
     """Files whose size repeats: only these can have a duplicate."""
-    return files.join(duplicate_sizes(files).select("size"), "size", "left_semi")
+    return spread_join(files, duplicate_sizes(files), ["size"], "left_semi")
 
 
 def unique_sizes(files: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def hashed(files: DataFrame, config: EngineConfig | None = None) -> DataFrame:
 def hashed_candidates(files: DataFrame, config: EngineConfig | None = None) -> DataFrame:
     """Slim rows with the full hash where the size repeats, else null."""
     h = hashed(files, config)
-    sizes = duplicate_sizes(files.select("size")).select("size", F.lit(True).alias("_repeats"))
-    return h.join(sizes, "size", "left").withColumn("hash", F.when(F.col("_repeats"), F.col("hash"))).drop("_repeats")
+    sizes = duplicate_sizes(files.select("size"))
+    return spread_join(h, sizes, ["size"], "left").withColumn("hash", F.when(F.col("n_files").isNotNull(), F.col("hash"))).drop("n_files")
 
 
 def duplicate_hashes(files: DataFrame) -> DataFrame:
@@ -62,11 +62,10 @@ def funnel(files: DataFrame, config: EngineConfig | None = None) -> DataFrame:
     large = F.col("size") > config.quick_from
     columns = [c for c in SLIM if c in files.columns]
     rows = files.select(*columns, F.when(large, quick_hash("content", config.algorithm, config.quick_hash_size)).alias("quick"), full_hash("content", config.algorithm).alias("hash"))
-    keys = rows.groupBy("size", "quick").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = rows.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
-    quick = keys.where("quick IS NOT NULL").select("size", "quick")
-    small = rows.where("quick IS NULL").join(sizes, "size", "left_semi")
-    return rows.where("quick IS NOT NULL").join(quick, ["size", "quick"], "left_semi").select(rows.columns).unionByName(small.select(rows.columns))
+    # A size is all large or all small, so one key serves both: small files have an empty quick hash.
+    rows = rows.withColumn("_key", F.coalesce("quick", F.lit("")))
+    repeats = rows.groupBy("size", "_key").agg(F.count("*").alias("n_files")).where("n_files > 1")
+    return spread_join(rows, repeats, ["size", "_key"], "left_semi").drop("_key")
 
 
 def groups(files: DataFrame) -> DataFrame:
@@ -80,7 +79,7 @@ def members(files: DataFrame, min_size: int | None = None) -> DataFrame:
     if min_size is not None:
         rows = rows.where(F.col("size") > min_size)
     found = rows.groupBy("hash", "size").agg(F.count("*").alias("n_files")).where("n_files > 1")
-    return rows.join(found, ["hash", "size"])
+    return spread_join(rows, found, ["hash", "size"], "inner")
 
 
 def with_locations(files: DataFrame) -> DataFrame:
@@ -103,7 +102,9 @@ def keep_recommendation(files: DataFrame) -> DataFrame:
 def delete_candidates(files: DataFrame) -> DataFrame:
     """Members of groups but the one to keep."""
     keep = keep_recommendation(files)
-    return members(files).join(keep, "hash").where(F.col("path") != F.col("keep_path")).select("hash", "path", "size", "keep_path")
+    sized = keep.join(groups(files).select("hash", "n_files"), "hash")
+    rows = spread_join(files.where(has_hash()), sized, ["hash"], "inner")
+    return rows.where(F.col("path") != F.col("keep_path")).select("hash", "path", "size", "keep_path")
 
 
 def hash_tiers(files: DataFrame, full_below: int, quick_below: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import has_hash
 from ..functions.names import ancestors, base_name, parent
 from .duplicates import duplicate_hashes
+from .joins import spread_join
 
 
 def folder_manifest(files: DataFrame) -> DataFrame:
@@ -20,8 +21,8 @@ def folder_manifest(files: DataFrame) -> DataFrame:
 
 def marked(files: DataFrame) -> DataFrame:
     """``files`` with is_duplicate: whether another file has the same hash."""
-    repeats = duplicate_hashes(files).select("hash", F.lit(True).alias("_dup"))
-    return files.join(repeats, "hash", "left").withColumn("is_duplicate", F.coalesce("_dup", F.lit(False))).drop("_dup")
+    repeats = duplicate_hashes(files).select("hash", "n_files")
+    return spread_join(files, repeats, ["hash"], "left").withColumn("is_duplicate", F.col("n_files").isNotNull()).drop("n_files")
 
 
 def folder_stats(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:

@@ -46,6 +46,11 @@ def updated_cache(cache: DataFrame, hashed: DataFrame, algorithm: str = "sha256"
     return stays.select(new.columns).unionByName(new)
 
 
+def cache_without(cache: DataFrame, paths: DataFrame) -> DataFrame:
+    """The cache without the entries of some paths."""
+    return cache.join(paths.select("path"), "path", "left_anti")
+
+
 def manifest_diff(before: DataFrame, now: DataFrame) -> DataFrame:
     """(path, change): added, changed (size or time) or removed."""
     a = before.select("path", F.struct("size", "last_modified").alias("b"))

@@ -162,6 +162,16 @@ def errors(walked: DataFrame) -> DataFrame:
     return walked.where("kind = 'error'").select("path", "message")
 
 
+def count_folders(walked: DataFrame) -> int:
+    """Number of different folders, those with ignored names left out."""
+    return walked.where("kind = 'folder'").select("path").distinct().count()
+
+
+def verify(manifest: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """``manifest`` with ok: whether the file still has its hash; false where it can't be read."""
+    return with_hash(manifest, "full", algorithm, "_now").withColumn("ok", F.coalesce(F.col("_now") == F.col("hash"), F.lit(False))).drop("_now")
+
+
 def hardlinks(manifest: DataFrame) -> DataFrame:
     """``manifest`` with hardlink_to: the first path of the same inode, null for that one itself."""
     first = F.min("path").over(Window.partitionBy("inode"))

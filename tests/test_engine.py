@@ -18,7 +18,8 @@ from mirrorfold.config import EngineConfig
 from mirrorfold.functions import hashing as H
 from mirrorfold.functions.names import ancestors, format_size, ignored, parent
 from mirrorfold.operators import duplicates, filters, folders, incremental, reports, similarity
-from mirrorfold.plans import analysis
+from mirrorfold.operators.joins import spread_join
+from mirrorfold.plans import analysis, control
 from mirrorfold.plans import queries as Q
 from mirrorfold.sources import walker
 from mirrorfold.streaming import arrivals
@@ -186,6 +187,7 @@ def test_state_between_runs(spark):
     assert rows(incremental.cache_statistics(f, cache), "lookups", "hits") == [(3, 2)]
     new = incremental.updated_cache(cache, f.withColumn("hash", F.lit("new")).where("path = '/b'"))
     assert rows(new, "path", "algorithm", "hash") == [("/a", "md5", "m"), ("/a", "sha256", "ha"), ("/b", "sha256", "new"), ("/c", "sha256", "hc")]
+    assert rows(incremental.cache_without(cache, f.where("path = '/a'")), "path") == [("/b",), ("/c",)]
     assert rows(incremental.upsert(f.select("path", "size"), spark.createDataFrame([("/a", 5), ("/a", 7), ("/z", 1)], "path string, size long")), "path", "size") == [("/a", 7), ("/b", 2), ("/c", 3), ("/z", 1)]
     later = spark.createDataFrame([("/a", 1, DAY), ("/b", 4, DAY), ("/d", 3, None)], "path string, size long, last_modified timestamp")
     assert rows(incremental.manifest_diff(f, later), "path", "change") == [("/b", "changed"), ("/c", "removed"), ("/d", "added")]
@@ -195,6 +197,25 @@ def test_state_between_runs(spark):
         incremental.run_all(spark, ["SELECT * FROM nope"])
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_keys_are_spread(spark, how):
+    left = spark.createDataFrame([(f"/{i}", "hot" if i % 3 else f"k{i % 12}") for i in range(300)] + [("/n", None)], "path string, key string")
+    right = left.where("key <> 'k3' AND key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n_files"))
+    got = spread_join(left, right, ["key"], how, hot=50, salts=4)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, left.join(right, "key", how).select(got.columns).collect()))
+
+
+def test_jobs_can_be_cancelled_and_counted(spark):
+    with control.job_group(spark, "scan", "a test"):
+        observed, metrics = control.observed(spark.range(10).select(F.col("id").alias("size")), "sizes")
+        observed.write.format("noop").mode("overwrite").save()
+    assert metrics.get == {"n": 10, "bytes": 45}
+    assert control.profile("network")["spark.sql.files.maxPartitionBytes"]
+    with pytest.raises(ValueError):
+        control.profile("tape")
+    control.cancel(spark, "scan")
+
+
 @pytest.fixture
 def tree(tmp_path):
     for path, text in {"file1.txt": "Content 1", "file2.txt": "Content 2", "subdir1/file3.txt": "Content 3", "subdir1/nested/file4.txt": "Content 4", "subdir2/file5.txt": "Content 5"}.items():
@@ -205,7 +226,7 @@ def tree(tmp_path):
 
 def test_walks(spark, tree):
     w = walker.walk(spark, [str(tree)])
-    assert walker.files(w).count() == 5 and walker.folders(w).count() == 4 and walker.errors(w).count() == 0
+    assert walker.files(w).count() == 5 and walker.folders(w).count() == walker.count_folders(w) == 4 and walker.errors(w).count() == 0
     top = {r.path: r for r in walker.folders(w).collect()}[str(tree)]
     assert (top.num_files, top.total_size, top.parent_path) == (2, 18, str(tree.parent))
     flat = walker.walk(spark, [str(tree)], recursive=False)
@@ -252,6 +273,8 @@ def test_analysis_of_paths(spark, tree):
     hashed = walker.with_hash(r.files.drop("hash"), "sampled", sample=100).where("name = 'big1'").first()
     raw = (tree / "big1").read_bytes()
     assert hashed.hash == hashlib.sha256(b"".join(raw[a : a + n] for a, n in H.sample_positions(len(raw), 100))).hexdigest()
+    assert walker.verify(r.files.where("hash IS NOT NULL")).where("NOT ok").count() == 0
+    assert walker.verify(r.files.withColumn("hash", F.lit("wronghash"))).where("ok").count() == 0
     lost = r.files.drop("hash").withColumn("path", F.concat("path", F.lit("-gone")))
     assert walker.with_hash(lost).where("hash IS NOT NULL").count() == 0
     table = manifest(spark, {"/a/1": "aa", "/a/2.tmp": "aa", "/b/3": "aa", "/b/4": "long one"})
