@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,13 +30,38 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not base:
         base = tempfile.mkdtemp(prefix="mirrorfold-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame, purpose: str) -> DataFrame:
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables that only serve until the ``with`` block ends; what is read after it must be stored by other means."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+        self.paths.clear()
+
+
+def materialized(df: DataFrame, purpose: str, scratch: Scratch | None = None) -> DataFrame:
     """The rows written to shared storage and read back: lineage is cut, and a lost executor costs nothing."""
     path = shared_dir(df.sparkSession, purpose)
+    if scratch is not None:
+        scratch.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

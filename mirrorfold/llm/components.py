@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialized, sized_join
+from .common import Scratch, materialized, sized_join
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -19,26 +19,30 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
-    """For edges (u, v) of one orderable type: (node, root) with the smallest node of its component.
+    """For edges (u, v) of one orderable type: (node, root) with the smallest node of its component, stored.
 
     Only nodes with an edge to another node appear. An empty table gives an empty result.
     """
+    spark = edges.sparkSession
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = materialized(e, "edges")
+    former = Scratch(spark)
+    e = materialized(e, "edges", former)
     before = _digest(e)
-    if before[0] == 0:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(most_steps):
-        # Large star: every larger neighbour of a node is joined to the smallest in the node's neighbourhood.
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialized(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = sized_join(both.where("v > u"), least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: a node and its smaller neighbours are joined to the smallest of them.
-        large = materialized(large, "large-star")
-        least = materialized(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = sized_join(large, least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = materialized(small, "small-star")
+        kept = Scratch(spark)
+        with Scratch(spark) as scratch:
+            # Large star: every larger neighbour of a node is joined to the smallest in the node's neighbourhood.
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = materialized(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", scratch)
+            large = sized_join(both.where("v > u"), least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            # Small star: a node and its smaller neighbours are joined to the smallest of them.
+            large = materialized(large, "large-star", scratch)
+            least = materialized(large.groupBy("u").agg(F.min("v").alias("m")), "least", scratch)
+            small = sized_join(large, least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+            e = materialized(small, "small-star", kept)
+        former.__exit__()
+        former = kept
         after = _digest(e)
         if after == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ball_tree, decision_list, license_scan, pfair, quality_ranker, secrets, sentencepiece_bpe, simhash, suffix_dedup, warc
-from .common import materialized, table
+from .common import Scratch, materialized, table
 
 
 def piece_model_path() -> str:
@@ -18,9 +18,11 @@ def piece_model_path() -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = warc.write_archives(table(spark, sf_dir, "pages"))
-    found = materialized(warc.read_records(spark, path, with_payload=False), "records")
-    captures = warc.with_origins(spark, materialized(warc.assembled(found), "captures"))
+    with Scratch(spark) as scratch:
+        path = warc.write_archives(table(spark, sf_dir, "pages"))
+        scratch.paths.append(path)
+        found = materialized(warc.read_records(spark, path, with_payload=False), "records", scratch)
+        captures = warc.with_origins(spark, materialized(warc.assembled(found), "captures"))
     return captures.select(
         F.col("metadata.page_id").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),

@@ -158,8 +158,8 @@ def redacted(docs: DataFrame, mark: str = MARK) -> DataFrame:
 
     A text without spans, null included, stays as it is.
     """
-    columns = docs.columns
-    found = scan_documents(docs).withColumn("_cut", F.when(F.size("_spans") > 0, _merged(F.col("_spans"))))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    found = scan_documents(packed).withColumn("_cut", F.when(F.size("_spans") > 0, _merged(F.col("_spans"))))
     cut, t = F.col("_cut"), F.col("_text")
 
     def piece(x: Column, i: Column) -> Column:
@@ -168,7 +168,14 @@ def redacted(docs: DataFrame, mark: str = MARK) -> DataFrame:
 
     tail = F.substr(t, F.element_at(cut, -1)["end"] + 1)
     whole = F.concat(F.array_join(F.transform(cut, piece), ""), tail)
-    out = found.withColumn("text", F.when(cut.isNotNull(), whole).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(cut.isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    out = found.select("_row", F.when(cut.isNotNull(), whole).otherwise(F.col("text")).alias("text"), cut.isNotNull().alias("_new"))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        old = F.col("_row")[c]
+        if c == "n_chars":
+            return F.when(F.col("_new"), F.length("text").cast(docs.schema[c].dataType)).otherwise(old).alias(c)
+        return old.alias(c)
+
+    return out.select(*map(column, docs.columns))

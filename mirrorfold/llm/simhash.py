@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialized, sized_join
+from .common import Scratch, materialized, sized_join
 from .components import components
 
 SEED, BITS = 42, 64
@@ -196,12 +196,13 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = LIMIT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, fp and component_id per row: the smallest doc_id that links of at most ``limit`` bits reach."""
     marked = materialized(with_fingerprints(docs, width, tuple(dict.fromkeys(["doc_id", *keep]))), "fingerprints")
-    fps = materialized(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(fps.select("fp"), limit)).withColumnRenamed("node", "fp")
-    members = sized_join(fps, materialized(roots, "roots"), ["fp"]).withColumn("root", F.coalesce("root", "fp"))
-    of_root = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = members.join(of_root, "root").select("fp", "component_id")
-    return sized_join(marked, materialized(named, "components"), ["fp"]).select(*keep, "fp", "component_id")
+    with Scratch(docs.sparkSession) as scratch:
+        fps = materialized(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints", scratch)
+        roots = materialized(components(links(fps.select("fp"), limit)).withColumnRenamed("node", "fp"), "roots", scratch)
+        members = sized_join(fps, roots, ["fp"]).withColumn("root", F.coalesce("root", "fp"))
+        of_root = materialized(members.groupBy("root").agg(F.min("least").alias("component_id")), "roots", scratch)
+        named = materialized(sized_join(members, of_root, ["root"], "inner").select("fp", "component_id"), "components")
+    return sized_join(marked, named, ["fp"]).select(*keep, "fp", "component_id")
 
 
 def hexadecimal(column) -> F.Column:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialized, sized_join
+from .common import Scratch, materialized, sized_join
 
 LENGTH, GRAM = 200, 64
 #: Distinct contexts of an anchor that go to one task at most.
@@ -297,7 +297,7 @@ def _contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, many boolean, n long, kd long, kt long, lo long, wins long, off long, ctx binary")
 
 
-def _split_hot(hot: DataFrame, length: int, gram: int, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def _split_hot(hot: DataFrame, length: int, gram: int, limit: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
     """Small groups (g, ctx, wins, n, kd, kt, lo) and repeated windows (kd, kt, s, e) of the hot anchors.
 
     A group holds windows with the anchor ``oa`` to ``ob`` bytes after their start, which share the bytes from
@@ -312,13 +312,13 @@ def _split_hot(hot: DataFrame, length: int, gram: int, limit: int) -> tuple[list
         first, last = F.greatest(F.col("off") - F.col("ob"), F.lit(0)), F.least(F.col("off") - F.col("oa"), F.col("wins") - 1)
         own = F.substring("ctx", F.col("fa") + 1, F.col("fb") - F.col("fa") + length)
         level = level.withColumns({"fa": first, "fb": last}).withColumns({"g": F.concat_ws(":", F.md5(shared), "oa", "ob"), "own": F.concat_ws(":", F.md5(own), F.col("off") - F.col("fa"))})
-        level = materialized(level.select("g", "own", *row), "hot-contexts")
+        level = materialized(level.select("g", "own", *row), "hot-contexts", scratch)
         same = level.groupBy("g", "own").agg(F.count("*").alias("k"), F.first(F.struct(*row)).alias("r"))
-        same = materialized(same.select("g", "own", "k", *(f"r.{c}" for c in row)).withColumn("n", F.when(F.col("k") > 1, F.lit(2)).otherwise(F.col("n"))), "hot-classes")
+        same = materialized(same.select("g", "own", "k", *(f"r.{c}" for c in row)).withColumn("n", F.when(F.col("k") > 1, F.lit(2)).otherwise(F.col("n"))), "hot-classes", scratch)
         again = level.where("n = 1").join(same.where("k > 1").select("g", "own"), ["g", "own"], "left_semi")
         whole.append(again.select("kd", "kt", (F.col("lo") + F.col("fa")).alias("s"), (F.col("lo") + F.col("fb") + length).alias("e")))
         sizes = same.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
-        sized = materialized(sized_join(same, materialized(sizes, "hot-sizes"), ["g"], "inner").drop("own", "k"), "hot-groups")
+        sized = materialized(sized_join(same, materialized(sizes, "hot-sizes", scratch), ["g"], "inner").drop("own", "k"), "hot-groups", scratch)
         fits = sized.where(F.col("m") <= limit)
         small.append(fits.select("g", own.alias("ctx"), (F.col("fb") - F.col("fa") + 1).alias("wins"), "n", "kd", "kt", (F.col("lo") + F.col("fa")).alias("lo")))
         rest = sized.where(F.col("m") > limit).drop("g", "m", "fa", "fb")
@@ -355,27 +355,29 @@ def _by_suffix_arrays(groups: DataFrame, length: int, shard: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
     """(kd, kt, spans): for each text with repeated windows, the bytes that they cover, unmerged."""
     keyed = _keyed(docs)
-    found = materialized(_found_anchors(keyed, length, gram), "anchors")
-    twice = found.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
-    shared = materialized(sized_join(found, materialized(twice, "repeated-grams"), ["a"], "left_semi"), "shared-anchors")
-    place = F.min(F.struct("kd", "kt", "lo", "wins", "off")).alias("p")
-    contexts = materialized(shared.groupBy("a", "c").agg(F.count("*").alias("n"), place), "contexts")
-    several = contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
-    compared = sized_join(contexts, materialized(several, "several-contexts"), ["a"], "inner").select("a", (F.col("m") > hot).alias("many"), "n", "p.*")
-    bytes_ = materialized(_contexts(keyed, compared, length), "context-bytes")
-    small, whole = [bytes_.where("NOT many").select(F.col("a").cast("string").alias("g"), "ctx", "wins", "n", "kd", "kt", "lo")], []
-    many = bytes_.where("many")
-    if not many.isEmpty():
-        more, whole = _split_hot(many.drop("a", "many"), length, gram, hot)
-        small += more
-    groups = small[0]
-    for x in small[1:]:
-        groups = groups.unionByName(x)
-    equal = shared.join(contexts.where("n > 1").select("a", "c"), ["a", "c"], "left_semi")
-    out = equal.select("kd", "kt", F.col("lo").alias("s"), (F.col("lo") + F.col("wins") - 1 + length).alias("e"))
-    for x in [_by_suffix_arrays(groups, length, shard), *whole]:
-        out = out.unionByName(x)
-    return materialized(out.groupBy("kd", "kt").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+    with Scratch(docs.sparkSession) as scratch:
+        with Scratch(docs.sparkSession) as early:
+            found = materialized(_found_anchors(keyed, length, gram), "anchors", early)
+            twice = materialized(found.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "repeated-grams", early)
+            shared = materialized(sized_join(found, twice, ["a"], "left_semi"), "shared-anchors", scratch)
+        place = F.min(F.struct("kd", "kt", "lo", "wins", "off")).alias("p")
+        contexts = materialized(shared.groupBy("a", "c").agg(F.count("*").alias("n"), place), "contexts", scratch)
+        several = materialized(contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "several-contexts", scratch)
+        compared = sized_join(contexts, several, ["a"], "inner").select("a", (F.col("m") > hot).alias("many"), "n", "p.*")
+        bytes_ = materialized(_contexts(keyed, compared, length), "context-bytes", scratch)
+        small, whole = [bytes_.where("NOT many").select(F.col("a").cast("string").alias("g"), "ctx", "wins", "n", "kd", "kt", "lo")], []
+        many = bytes_.where("many")
+        if not many.isEmpty():
+            more, whole = _split_hot(many.drop("a", "many"), length, gram, hot, scratch)
+            small += more
+        groups = small[0]
+        for x in small[1:]:
+            groups = groups.unionByName(x)
+        equal = shared.join(contexts.where("n > 1").select("a", "c"), ["a", "c"], "left_semi")
+        out = equal.select("kd", "kt", F.col("lo").alias("s"), (F.col("lo") + F.col("wins") - 1 + length).alias("e"))
+        for x in [_by_suffix_arrays(groups, length, shard), *whole]:
+            out = out.unionByName(x)
+        return materialized(out.groupBy("kd", "kt").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
 
 
 def kept_parts(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:

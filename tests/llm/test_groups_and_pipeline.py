@@ -148,3 +148,20 @@ def test_pipeline(spark, folder):
     for r in got:
         enc = lib.encode(last[r.doc_id] or "", add_bos=True, add_eos=True)
         assert r.n_tokens == len(enc) and r.decoded_sha256 == hashlib.sha256((last[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_stages_on_empty_tables_and_nulls(spark, folder):
+    import corpus_pipeline as cp
+
+    path, _ = folder
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _score string, spans int"
+    none = spark.createDataFrame([], schema)
+    nulls = spark.createDataFrame([(None,) * 7, (None,) * 7, (1, "", None, None, None, "clash", 1), (1, "", None, None, None, "clash", 1), (2, "word " * 60_000, "en", "s", 1, None, None)], schema)
+    for name, stage in cp.STAGES:
+        assert stage(spark, none, path).count() == 0, name
+        out = stage(spark, nulls, path)
+        n = out.count()
+        assert n == len(nulls.collect()) if name in ("secrets", "mix", "tokens") else n <= 5, name
+        if name != "tokens":
+            assert out.columns == nulls.columns, name
+    assert cp.near_duplicates(spark, nulls, path).count() == 2

@@ -64,8 +64,10 @@ def test_spans(spark):
 
 
 def test_redaction(spark):
-    rows = texts(150)
-    docs = spark.createDataFrame([(i, t, "en", "src0", None if t is None else len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    from pyspark.sql import functions as F
+
+    rows, docs_lit = texts(150), F.lit("clash")
+    docs = spark.createDataFrame([(i, t, "en", "src0", None if t is None else len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("_text", docs_lit).withColumn("_row", docs_lit)
     got = secrets.redacted(docs)
     assert got.columns == docs.columns
     for r in got.collect():
@@ -79,7 +81,7 @@ def test_redaction(spark):
                 pass
             at = max(at, b)
         want = want + t[at:] if spans else t
-        assert r.text == want and r.n_chars == (None if t is None else len(want))
+        assert r._text == r._row == "clash" and r.text == want and r.n_chars == (None if t is None else len(want))
 
 
 def test_no_python_in_the_plan(spark):
