@@ -18,9 +18,10 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Words whose encoding a Python worker remembers, in each of two generations.
-MEMO = 500_000
+MEMO = 1_000_000
 REPLACEMENT = "�".encode()
 
 
@@ -71,6 +72,10 @@ class PieceModel:
         self.byte_fallback = proto.trainer_spec.byte_fallback
         self.bos, self.eos = proto.trainer_spec.bos_id, proto.trainer_spec.eos_id
         self.piece = {i: p for p, i in self.ids.items()}
+        surfaces = [bytes([self.byte_of[i]]) if i in self.byte_of else x for i, x in enumerate(self.surface)]
+        self.sizes = np.fromiter(map(len, surfaces), np.int64, len(surfaces))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(surfaces), np.uint8)
         self.cut = _cut_pattern(self.ids)
         if any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("a piece holds a character that is no piece")
@@ -170,32 +175,45 @@ class PieceModel:
         if self.cut is None:
             ids = self.backtrack(marked)
             return struct.pack(f"<{len(ids)}I", *ids)
-        memo, known = self.memo, self.memo.get
-        out = []
-        for w in self.cut.findall(marked):
-            if (x := known(w)) is None:
-                if (x := self.older.get(w)) is None:
-                    ids = self.backtrack(w)
-                    x = struct.pack(f"<{len(ids)}I", *ids)
-                if len(w) <= 64:
-                    if len(memo) >= MEMO:
-                        self.older, self.memo = memo, {}
-                        memo, known = self.memo, self.memo.get
-                    memo[w] = x
-            out.append(x)
-        return b"".join(out)
+        known, learned = self.memo.get, self._learned
+        return b"".join([known(w) or learned(w) for w in self.cut.findall(marked)])
+
+    def _learned(self, word: str) -> bytes:
+        """Packed ids of a word that the younger generation of the store lacks."""
+        if (x := self.older.get(word)) is None:
+            ids = self.backtrack(word)
+            x = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= 64:
+            if len(self.memo) >= MEMO:
+                self.older = dict(self.memo)
+                self.memo.clear()
+            self.memo[word] = x
+        return x
 
     def encode(self, text: str | None) -> list[int]:
         raw = self.packed(text or "")
         return [self.bos, *struct.unpack(f"<{len(raw) // 4}I", raw), self.eos]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """Text of ids: control ids give nothing, the mark of the added prefix goes, malformed bytes become U+FFFD."""
-        raw = b"".join([self.decoded[i] for i in ids])
-        if b"\xff" not in raw:  # no byte piece
-            if self.dummy_prefix and raw[:1] == b" " and next(i for i in ids if self.surface[i]) != self.unknown:
+        x = np.asarray(ids, np.int64)
+        sizes = self.sizes[x]
+        if not sizes[1:-1].all():  # a control id inside ends a run of byte pieces
+            return self._decode_leniently(x.tolist())
+        total = int(sizes.sum())
+        # Where each surface starts in the pool, less where it starts in the text.
+        shift = self.starts[x] - (np.cumsum(sizes) - sizes)
+        raw = self.pool[np.repeat(shift, sizes) + np.arange(total)].tobytes()
+        if self.dummy_prefix and raw[:1] == b" ":
+            first = int(x[np.flatnonzero(sizes)[0]])
+            if first != self.unknown and first not in self.byte_of:
                 raw = raw[1:]
+        try:
             return raw.decode()
+        except UnicodeDecodeError:  # malformed runs of byte pieces
+            return self._decode_leniently(x.tolist())
+
+    def _decode_leniently(self, ids: list[int]) -> str:
         out, run, first = [], bytearray(), True
         for i in ids:
             if (b := self.byte_of.get(i)) is not None:
@@ -215,13 +233,6 @@ class PieceModel:
             out.append(lenient(bytes(run)))
         return b"".join(out).decode()
 
-    @property
-    def decoded(self) -> list[bytes]:
-        """Surfaces by id; a byte piece is marked by 0xFF, which no UTF-8 text holds."""
-        if not hasattr(self, "_decoded"):
-            self._decoded = [b"\xff" if i in self.byte_of else s for i, s in enumerate(self.surface)]
-        return self._decoded
-
 
 def _cut_pattern(pieces: Iterable[str]) -> re.Pattern | None:
     """Parts of a marked text between which no piece of the vocabulary reaches, so that no merge does either.
@@ -238,7 +249,8 @@ def _cut_pattern(pieces: Iterable[str]) -> re.Pattern | None:
         kinds = {bool(alpha.match(c)) for c in p if c != SPACE}
         if len(kinds) > 1:
             return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-    return re.compile(f"{SPACE}*(?:{letter}+|(?:(?!{letter})[^{SPACE}])+)|{SPACE}+")
+    other = f"(?:[^\\w{SPACE}]+|[\\d_{re.escape(''.join(sorted(odd)))}]+)+"
+    return re.compile(f"{SPACE}*{letter}+|{SPACE}*{other}|{SPACE}+")
 
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -315,7 +327,7 @@ def round_trip(df: DataFrame, model_path: str, text: str = "text", keep: tuple[s
                 raw = b"".join((bos, m.packed(x.as_py() or ""), eos))
                 n.append(len(raw) // 4)
                 a.append(hashlib.sha256(raw).hexdigest())
-                b.append(hashlib.sha256(m.decode(memoryview(raw).cast("I").tolist()).encode()).hexdigest())
+                b.append(hashlib.sha256(m.decode(np.frombuffer(raw, "<u4")).encode()).hexdigest())
             columns = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays(
                 [*columns, *(pa.array(v, t) for v, (_, t) in zip((n, a, b), digests, strict=True))],
