@@ -3,8 +3,8 @@
 A tokenisation is what the merges would give exactly when every two adjacent tokens are what the
 merges give for their concatenation: merges inside a token do not depend on its surroundings, and the
 first merge over a boundary would also be made in the two tokens alone. So the encoder walks from left
-to right, takes the longest vocabulary entry (an Aho-Corasick automaton gives all that start at a
-position), checks it against its left neighbour by merging the two again, and goes back to shorter
+to right, takes the longest vocabulary entry (the trie of an Aho-Corasick automaton tells how far entries
+reach from a position), checks it against its left neighbour by merging the two again, and goes back to shorter
 entries where no continuation fits. A bitfield of failed positions keeps each position from being
 explored twice.
 
@@ -18,6 +18,8 @@ import hashlib
 import heapq
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Words whose encoding a Python worker remembers, in each of two generations.
-MEMO = 1_000_000
+MEMO = 150_000
 REPLACEMENT = "�".encode()
 
 
@@ -83,7 +85,8 @@ class PieceModel:
         for p, i in self.ids.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.longest = max(map(len, self.ids))
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -112,9 +115,9 @@ class PieceModel:
         return [x for x in part if x]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 4 * MEMO:
+            if len(self.fits) > 2 * MEMO:
                 self.fits.clear()
             a, b = self.piece[left], self.piece[right]
             known = self.fits[key] = self.merged(a + b) == [a, b]
@@ -122,41 +125,47 @@ class PieceModel:
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of a text; a character outside the vocabulary becomes its bytes (or the unknown id)."""
-        n = len(text)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, i) in self.automaton.iter(text):
-            starts[end - length + 1].append((length, i))
-        # Entries at a position come by rising length, because the automaton reports by rising end.
+        n, most, reach, entry = len(text), self.longest, self.automaton.longest_prefix, self.ids.get
+        fits, compatible = self.fits.get, self.compatible
         failed = bytearray((n >> 3) + 1)
         ids: list[int] = []
-        spans: list[tuple[int, int]] = []  # position, and which of its entries is taken
-        at, choice = 0, -1  # -1: the longest
+        starts: list[int] = []
+        at, length, last = 0, 0, -1  # length 0: as far as the automaton goes
         while at < n:
-            options = starts[at]
-            if not options:  # unknown: nothing merges over it
-                ids.append(-ord(text[at]) - 1)
-                spans.append((at, 0))
-                at += 1
-                continue
-            if choice < 0:
-                choice = len(options) - 1
-            last = ids[-1] if ids else -1
-            while choice >= 0:
-                length, i = options[choice]
-                end = at + length
-                if not (failed[end >> 3] >> (end & 7)) & 1 and (last < 0 or self.compatible(last, i)):
-                    break
-                choice -= 1
-            if choice >= 0:
+            if length == 0:
+                length = reach(text[at : at + most])
+                if length == 0:  # unknown: nothing merges over it
+                    last = -ord(text[at]) - 1
+                    ids.append(last)
+                    starts.append(at)
+                    at += 1
+                    continue
+            while length > 0:
+                i = entry(text[at : at + length])
+                if i is not None:
+                    end = at + length
+                    if not (failed[end >> 3] >> (end & 7)) & 1 and (last < 0 or fits(last << 32 | i) or compatible(last, i)):
+                        break
+                length -= 1
+            if length > 0:
                 ids.append(i)
-                spans.append((at, choice))
-                at, choice = end, -1
+                starts.append(at)
+                at, length, last = end, 0, i
                 continue
-            while choice < 0:  # nothing continues from here: back to the previous token's shorter entries
+            # Nothing continues from here: back to the previous token's shorter entries.
+            failed[at >> 3] |= 1 << (at & 7)
+            end = at
+            ids.pop()
+            at = starts.pop()
+            length = end - at - 1
+            last = ids[-1] if ids else -1
+            while length == 0:
                 failed[at >> 3] |= 1 << (at & 7)
+                end = at
                 ids.pop()
-                at, choice = spans.pop()
-                choice -= 1
+                at = starts.pop()
+                length = end - at - 1
+                last = ids[-1] if ids else -1
         out: list[int] = []
         for i in ids:
             if i >= 0:
@@ -173,16 +182,14 @@ class PieceModel:
             return b""
         marked = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
         if self.cut is None:
-            ids = self.backtrack(marked)
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return packed_ids(self.backtrack(marked))
         known, learned = self.memo.get, self._learned
         return b"".join([known(w) or learned(w) for w in self.cut.findall(marked)])
 
     def _learned(self, word: str) -> bytes:
         """Packed ids of a word that the younger generation of the store lacks."""
         if (x := self.older.get(word)) is None:
-            ids = self.backtrack(word)
-            x = struct.pack(f"<{len(ids)}I", *ids)
+            x = packed_ids(self.backtrack(word))
         if len(word) <= 64:
             if len(self.memo) >= MEMO:
                 self.older = dict(self.memo)
@@ -234,6 +241,14 @@ class PieceModel:
         return b"".join(out).decode()
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 def _cut_pattern(pieces: Iterable[str]) -> re.Pattern | None:
     """Parts of a marked text between which no piece of the vocabulary reaches, so that no merge does either.
 
