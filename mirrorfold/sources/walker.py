@@ -24,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 from ..config import EngineConfig
+from ..functions.arrow import map_arrow
 from ..functions.hashing import sample_positions
 from ..schemas import WALK
 
@@ -211,4 +212,4 @@ def with_hash(manifest: DataFrame, kind: str = "full", algorithm: str = "sha256"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([one(p.as_py()) for p in batch.column("path")], pa.string())], names=schema.names)
 
-    return manifest.mapInArrow(run, schema)
+    return map_arrow(manifest, run, schema)
