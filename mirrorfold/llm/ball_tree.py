@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.arrow import map_arrow
 from .common import materialized
 
 SCALE = 1024
@@ -189,4 +190,4 @@ def _search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                         s_out += score
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (q_out, i_out, s_out)], names=["query_id", "vec_id", "score"])
 
-    return dealt.mapInArrow(run, schema)
+    return map_arrow(dealt, run, schema)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow import map_arrow
 from .quality_ranker import MAX_LABELLED, labelled_sample
 from .text_features import NAMES, base_counts, features
 
@@ -149,7 +150,7 @@ def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), prefix
             columns = [pa.array(np.ascontiguousarray(a[:, j])) for a in (base, more) for j in range(a.shape[1])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=schema.names)
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, "text"), run, schema)
 
 
 def judged(docs: DataFrame, rules: list[list[Condition]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..functions.arrow import map_arrow
+
 #: Phrase and label.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -208,4 +210,4 @@ def scan_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
             found = [scan(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array([x[k] for x in found], kinds[t]) for k, t in FIELDS.items())], names=[*keep, *FIELDS])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, "text"), run, schema)

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow import map_arrow, ship
+
 SPACE = "▁"
 #: Words whose encoding a Python worker remembers, in each of two generations.
 MEMO = 150_000
@@ -307,6 +309,8 @@ def model(path: str) -> PieceModel:
 def encode_documents(df: DataFrame, model_path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``df`` with the ids of each whole text as an array, begin and end ids included."""
 
+    ship(df.sparkSession)
+
     @F.udf(T.ArrayType(T.IntegerType()), useArrow=True)
     def encoded(x):
         return model(model_path).encode(x)
@@ -317,6 +321,8 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", ids: st
 def decode_documents(df: DataFrame, model_path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of each array of ids; a null array gives an empty text."""
 
+    ship(df.sparkSession)
+
     @F.udf(T.StringType(), useArrow=True)
     def decoded(x):
         return model(model_path).decode([int(i) for i in x] if x is not None else [])
@@ -350,4 +356,4 @@ def round_trip(df: DataFrame, model_path: str, text: str = "text", keep: tuple[s
             )
 
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return map_arrow(df.select(*kept, text), run, schema)

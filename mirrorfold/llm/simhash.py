@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow import map_arrow
 from .common import Scratch, materialized, sized_join
 from .components import components
 
@@ -65,7 +66,7 @@ def with_fingerprints(docs: DataFrame, width: int = SHINGLE, keep: tuple[str, ..
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])
 
     columns = dict.fromkeys([*keep, "text"])
-    return docs.select(*columns).mapInArrow(run, schema)
+    return map_arrow(docs.select(*columns), run, schema)
 
 
 def segments(limit: int) -> list[tuple[int, int]]:
@@ -190,7 +191,7 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
         pairs, _ = of(*rest, True)
         yield batch_of(pairs)
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return map_arrow(dealt, run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = LIMIT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow import map_arrow
 from .common import Scratch, materialized, sized_join
 
 LENGTH, GRAM = 200, 64
@@ -270,7 +271,7 @@ def _found_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["kd", "kt", "lo", "wins", "off", "a", "c"])
 
-    return keyed.mapInArrow(run, "kd long, kt long, lo long, wins long, off long, a long, c long")
+    return map_arrow(keyed, run, "kd long, kt long, lo long, wins long, off long, a long, c long")
 
 
 def _contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -294,7 +295,7 @@ def _contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "a long, many boolean, n long, kd long, kt long, lo long, wins long, off long, ctx binary")
+    return map_arrow(rows, run, "a long, many boolean, n long, kd long, kt long, lo long, wins long, off long, ctx binary")
 
 
 def _split_hot(hot: DataFrame, length: int, gram: int, limit: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -349,7 +350,7 @@ def _by_suffix_arrays(groups: DataFrame, length: int, shard: int) -> DataFrame:
             yield packed(out)
         yield packed(shards.flush(final=True))
 
-    return dealt.select(*columns).mapInArrow(run, "kd long, kt long, s long, e long")
+    return map_arrow(dealt.select(*columns), run, "kd long, kt long, s long, e long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
@@ -420,5 +421,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
             columns = [*(batch.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in (n, removed, runs)), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.binary())] if with_text else [])], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
 

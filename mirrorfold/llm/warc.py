@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import map_arrow
 from .common import materialized, shared_dir, sized_join, text_bytes
 
 LEAST = 100
@@ -211,7 +212,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
 
     kinds = {"int64": "long", "binary": "binary", "string": "string"}
     schema = ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in RECORD)
-    return files.mapInArrow(run, schema)
+    return map_arrow(files, run, schema)
 
 
 def assembled(found: DataFrame) -> DataFrame:
