@@ -29,8 +29,8 @@ from .components import components
 
 SEED, BITS = 42, 64
 SHINGLE, LIMIT = 3, 3
-#: Pairs compared at once within a key.
-BLOCK = 2048
+#: Fingerprints of a key that are compared at once, and that go to one task.
+BLOCK, HOT = 2048, 8192
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -148,12 +148,29 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
+def spread_hot(keyed: DataFrame, hot: int) -> DataFrame:
+    """``keyed`` with each key of more than ``hot`` fingerprints split: its fingerprints are dealt to parts, and every
+    two parts meet under a key of their own, so the comparisons of one key are shared among tasks.
+    """
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot)
+    sizes = materialized(sizes, "hot-keys")
+    if sizes.isEmpty():
+        return keyed
+    rows = sized_join(keyed, sizes, ["key"])
+    parts = F.ceil(F.col("m") * 2 / F.lit(hot)).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    other = F.explode(F.when(F.col("m").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), parts - 1)))
+    met = rows.select("key", "start", "fp", mine.alias("mine"), other.alias("other"))
+    split = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return met.select(F.when(F.col("other") < 0, F.col("key")).otherwise(split).alias("key"), "start", "fp")
+
+
+def links(fps: DataFrame, limit: int = LIMIT, hot: int = HOT) -> DataFrame:
     """(u, v): enough links between distinct fingerprints to connect all that are within ``limit`` bits.
 
     Rows of a key come together by one shuffle on it and are read in order, a key at a time.
     """
-    keyed = ring_keys(fps, limit)
+    keyed = spread_hot(ring_keys(fps, limit), hot)
     spark = fps.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(n, "key").sortWithinPartitions("key", "start", "fp")

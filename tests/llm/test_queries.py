@@ -1,0 +1,61 @@
+"""The registered queries on a small folder with odd rows: contract columns, whole tables, SQL where there is any."""
+
+import random
+
+import duckdb
+import pytest
+
+from mirrorfold.llm import queries as Q
+
+COLUMNS = {
+    "op1_warc": ["page_id:bigint", "payload_bytes:bigint", "payload_digest:string", "record_type:string", "refers_to:bigint"],
+    "op2_top_k": ["query_id:bigint", "rank:int", "vec_id:bigint", "score:bigint"],
+    "op3_source_mix": ["doc_id:bigint", "source:string", "rank_in_source:bigint", "block:bigint", "slot:bigint", "place:bigint"],
+    "op4_sentencepiece": ["doc_id:bigint", "n_tokens:bigint", "ids_sha256:string", "decoded_sha256:string"],
+    "op5_secret_scan": ["doc_id:bigint", "n_assign:bigint", "n_access:bigint", "n_hex:bigint", "base_sha256:string", "spans:string"],
+    "op6_quality_classifier": ["doc_id:bigint", "held_out:boolean", "score:double", "predicted:int"],
+    "op7_suffix_dedup": ["doc_id:bigint", "n_bytes:bigint", "n_removed:bigint", "n_spans:bigint", "kept_sha256:string"],
+    "op8_simhash": ["doc_id:bigint", "fingerprint:string", "component_id:bigint"],
+    "op9_quality_rules": ["doc_id:bigint", "n_words:bigint", "word_chars:bigint", "n_symbols:bigint", "n_dup_lines:bigint", "n_repeat_words:bigint", "base_failed:boolean", "kept:boolean", "rule:int"],
+    "op10_license_scan": ["doc_id:bigint", "n_words:bigint", "n_base:bigint", "first_word:bigint", "last_word:bigint", "base_labels:string", "labels:string", "score:double"],
+}
+ROWS = {"op1_warc": "pages", "op2_top_k": None}
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(1, 8))) for _ in range(300)]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    docs = [(i, prose(rng.randint(1, 120)), "en", f"s{i % 4}", 0) for i in range(120)]
+    docs += [(200 + i, docs[i][1], "en", None, None) for i in range(10)] + [(300, None, None, None, None), (301, "", None, "s1", None), (302, "x" * 9000, "de", "s1", 9000), (None, "no id", None, None, None)]
+    path = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, i % 3 > 0, 0) for i in range(0, 120, 2)], "doc_id long, quality boolean, toxic int").selectExpr("doc_id", "int(quality) quality", "toxic").write.parquet(f"{path}/labels.parquet")
+    pages = [(i, f"http://h{i % 3}/", prose(rng.randint(1, 60)) if i % 5 else "same " * 40) for i in range(60)] + [(70, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(6)], 1) for i in range(350)] + [(400, None, 1), (500, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (700, [1.0] * 6, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", list(COLUMNS))
+def test_query(spark, folder, name):
+    df = Q.queries()[name](spark, folder)
+    assert [f"{c}:{t}" for c, t in df.dtypes] == COLUMNS[name]
+    rows = df.collect()
+    table = ROWS.get(name, "documents")
+    if table:
+        assert len(rows) == spark.read.parquet(f"{folder}/{table}.parquet").count()
+    if name == "op2_top_k":
+        assert len(rows) == 5 * 10
+    if sql := Q.oracle_sql().get(name):
+        con = duckdb.connect()
+        for t in ("documents", "labels", "pages", "embeddings"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+        want = con.sql(sql)
+        columns = sorted(want.columns)
+        assert sorted(repr(tuple(r[c] for c in columns)) for r in rows) == sorted(map(repr, want.select(*columns).fetchall()))

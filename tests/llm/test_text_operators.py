@@ -84,8 +84,8 @@ def test_fingerprints():
         assert simhash.fingerprint(t) == plain_fingerprint(t)
 
 
-@pytest.mark.parametrize("limit", [0, 1, 2, 3, 5])
-def test_links_connect_all_that_are_near(spark, limit):
+@pytest.mark.parametrize(("limit", "hot"), [(0, 8), (1, 8), (2, 9000), (3, 9000), (3, 3), (5, 9000)])
+def test_links_connect_all_that_are_near(spark, limit, hot):
     rng = random.Random(limit)
     fps = set()
     for _ in range(40):
@@ -96,7 +96,7 @@ def test_links_connect_all_that_are_near(spark, limit):
                 x ^= 1 << rng.randrange(64)
     fps = sorted(fps | {0, 1, 2**63, 2**64 - 1})
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), limit).collect()
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), limit, hot).collect()
     place = {f: i for i, f in enumerate(signed)}
     parent = list(range(len(fps)))
 
