@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the storage that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder takes its place on
+    one machine, and a folder in the warehouse on a cluster, for executors share no local folder.
     """
     conf = spark.sparkContext.getConf()
     base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_mirrorfold"
     if not base:
         base = tempfile.mkdtemp(prefix="mirrorfold-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
