@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -22,7 +24,9 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parents[1]
     if root.is_dir():  # else it came in a zip itself
-        target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="mirrorfold-code-")), f"{root.name}.zip")
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="mirrorfold-code-"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = os.path.join(folder, f"{root.name}.zip")
         with zipfile.ZipFile(target, "w") as z:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
