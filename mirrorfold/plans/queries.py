@@ -52,15 +52,15 @@ def _with_time(df: DataFrame) -> DataFrame:
 
 
 def _cache(spark: SparkSession, sf: str) -> DataFrame:
-    """A hash cache of files with even ids, of which every third has changed since."""
-    f = hashed(spark, sf).withColumn("id", F.regexp_extract("name", r"^(\d+)", 1).cast("long")).where("id % 2 = 0")
-    size = F.when(F.col("id") % 3 == 0, F.col("size") + 1).otherwise(F.col("size"))
-    return f.select("path", size.alias("size"), "last_modified", F.lit("sha256").alias("algorithm"), F.lit("full").alias("kind"), "hash")
+    """A hash cache of all files, in which the entry of every third one is out of date."""
+    f = hashed(spark, sf)
+    stale = F.regexp_extract("name", r"^(\d+)", 1).cast("long") % 3 == 0
+    return f.select("path", F.when(stale, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "last_modified", F.lit("sha256").alias("algorithm"), F.lit("full").alias("kind"), "hash")
 
 
 def _inodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Files whose size is divisible by 5 share the inode of their size."""
-    return _slim(spark, sf).withColumn("inode", F.when(F.col("size") % 5 == 0, F.concat(F.lit("1:"), F.col("size").cast("string"))).otherwise(F.concat(F.lit("2:"), "path")))
+    """Files of one size share an inode."""
+    return _slim(spark, sf).withColumn("inode", F.concat(F.lit("1:"), F.col("size").cast("string")))
 
 
 def _renamed(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,24 +74,35 @@ def _renamed(spark: SparkSession, sf: str) -> DataFrame:
 def q_hardlinks(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.walker import hardlinks
 
-    return hardlinks(_inodes(spark, sf)).where("hardlink_to IS NOT NULL").select("path", "inode", "hardlink_to")
+    return hardlinks(_inodes(spark, sf)).select("path", "inode", "hardlink_to")
 
 
 def q_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """New rows for all files whose size repeats, twice, and copies of all below another root."""
     f = _with_time(_slim(spark, sf)).select("path", "size", "last_modified")
-    new = f.where("size % 3 = 0").select("path", (F.col("size") * 10).alias("size"), "last_modified")
-    twice = new.unionByName(new.withColumn("size", F.col("size") - 1)).unionByName(f.where("size % 4 = 0").select(F.concat(F.lit("/new"), "path").alias("path"), "size", "last_modified"))
+    new = D.size_candidates(f).select("path", (F.col("size") * 10).alias("size"), "last_modified")
+    twice = new.unionByName(new.withColumn("size", F.col("size") - 1)).unionByName(f.select(F.concat(F.lit("/new"), "path").alias("path"), "size", "last_modified"))
     return I.upsert(f, twice)
 
 
+def q_cache_update(spark: SparkSession, sf: str) -> DataFrame:
+    """The cache after all misses have been hashed."""
+    cache = _cache(spark, sf)
+    misses = I.cache_misses(_slim(spark, sf).select("path", "size", "last_modified"), cache).select("path")
+    return I.updated_cache(cache, hashed(spark, sf).join(misses, "path", "left_semi")).select("path", "size", "hash")
+
+
 def q_update_hashes(spark: SparkSession, sf: str) -> DataFrame:
     f = candidates(spark, sf).select("path", "size", "hash")
     return I.with_new_hashes(f, f.where("hash IS NULL").select("path", F.concat(F.lit("s"), F.col("size").cast("string")).alias("hash")))
 
 
 def q_manifest_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Small files have come, large ones are gone, and those between have grown if their size repeats."""
     f = _slim(spark, sf).select("path", "size", "last_modified")
-    return I.manifest_diff(f.where("size % 5 <> 0"), f.where("size % 7 <> 0").withColumn("size", F.when(F.col("size") % 3 == 0, F.col("size") + 1).otherwise(F.col("size"))))
+    grown = D.size_candidates(f).select("path", F.lit(1).alias("more"))
+    now = f.join(grown, "path", "left").select("path", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), "last_modified", F.col("size").alias("was")).where(F.col("was") <= HIGH).drop("was")
+    return I.manifest_diff(P.at_least(f, LOW), now)
 
 
 def q_format_size(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +173,7 @@ def queries() -> dict[str, Query]:
         "format_size": q_format_size,
         "incremental_misses": lambda s, d: I.cache_misses(_slim(s, d).select("path", "size", "last_modified"), _cache(s, d)).select("path", "size"),
         "cache_statistics": lambda s, d: I.cache_statistics(_slim(s, d), _cache(s, d)),
-        "cache_update": lambda s, d: I.updated_cache(_cache(s, d), hashed(s, d).where("size % 2 = 0")).select("path", "size", "hash"),
+        "cache_update": q_cache_update,
         "upsert_by_path": q_upsert,
         "update_hashes": q_update_hashes,
         "manifest_diff": q_manifest_diff,
@@ -209,7 +220,7 @@ sim AS (
 )"""
 MEMBERS = "SELECT hash, size, path, n_files FROM (SELECT *, count(*) OVER (PARTITION BY hash, size) AS n_files FROM h) WHERE n_files > 1"
 KEEP = "SELECT hash, path AS keep_path FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY length(path), last_modified NULLS LAST, path) AS k, count(*) OVER (PARTITION BY hash) AS n FROM h) WHERE k = 1 AND n > 1"
-CACHE_SQL = "c AS (SELECT path, CASE WHEN doc_id % 3 = 0 THEN size + 1 ELSE size END AS size, last_modified, hash FROM h WHERE doc_id % 2 = 0)"
+CACHE_SQL = "c AS (SELECT path, CASE WHEN doc_id % 3 = 0 THEN size + 1 ELSE size END AS size, last_modified, hash FROM h)"
 
 
 def _dup_hashes(function: str) -> str:
@@ -287,14 +298,14 @@ def oracle_sql() -> dict[str, str]:
         "files_of_size": _with(FILES_SQL, "SELECT path, size FROM f WHERE size = 1000"),
         "folder_by_path": _with(FILES_SQL, FOLDERS_SQL, "SELECT * FROM fm WHERE path = '/src1'"),
         "ignore_globs": _with(FILES_SQL, "SELECT CASE WHEN doc_id % 7 = 4 THEN folder || '/' || doc_id || '.TMP' ELSE path END AS path, size FROM f WHERE doc_id % 7 > 3"),
-        "hardlinks": _with(FILES_SQL, "SELECT path, '1:' || size AS inode, first_path AS hardlink_to FROM (SELECT *, min(path) OVER (PARTITION BY size) AS first_path FROM f WHERE size % 5 = 0) WHERE path <> first_path"),
+        "hardlinks": _with(FILES_SQL, "SELECT path, '1:' || size AS inode, CASE WHEN path <> first_path THEN first_path END AS hardlink_to FROM (SELECT *, min(path) OVER (PARTITION BY size) AS first_path FROM f)"),
         "format_size": _with(FILES_SQL, _format_sql()),
         "incremental_misses": _with(HASHED_SQL, CACHE_SQL, "SELECT path, size FROM h ANTI JOIN c USING (path, size, last_modified)"),
         "cache_statistics": _with(HASHED_SQL, CACHE_SQL, "SELECT count(*) AS lookups, count(c.hash) AS hits, CASE WHEN count(*) = 0 THEN 0.0::DOUBLE ELSE CAST(count(c.hash) AS DOUBLE) / count(*) END AS hit_rate FROM h LEFT JOIN c USING (path, size, last_modified)"),
-        "cache_update": _with(HASHED_SQL, CACHE_SQL, "SELECT path, size, hash FROM h WHERE size % 2 = 0 UNION ALL SELECT path, size, hash FROM c WHERE path NOT IN (SELECT path FROM h WHERE size % 2 = 0)"),
-        "upsert_by_path": _with(FILES_SQL, "SELECT path, CASE WHEN size % 3 = 0 THEN size * 10 ELSE size END AS size, last_modified FROM f UNION ALL SELECT '/new' || path, size, last_modified FROM f WHERE size % 4 = 0"),
+        "cache_update": _with(HASHED_SQL, CACHE_SQL, "m AS (SELECT path FROM h ANTI JOIN c USING (path, size, last_modified))", "SELECT path, size, hash FROM h SEMI JOIN m USING (path) UNION ALL SELECT path, size, hash FROM c ANTI JOIN m USING (path)"),
+        "upsert_by_path": _with(FILES_SQL, "SELECT path, CASE WHEN count(*) OVER (PARTITION BY size) > 1 THEN size * 10 ELSE size END AS size, last_modified FROM f UNION ALL SELECT '/new' || path, size, last_modified FROM f"),
         "update_hashes": _with(CANDIDATES_SQL, "SELECT path, size, coalesce(hash, 's' || size) AS hash FROM h"),
-        "manifest_diff": _with(FILES_SQL, "SELECT path, CASE WHEN size % 5 = 0 THEN 'added' WHEN size % 7 = 0 THEN 'removed' ELSE 'changed' END AS change FROM f WHERE (size % 5 = 0) <> (size % 7 = 0) OR size % 5 <> 0 AND size % 7 <> 0 AND size % 3 = 0"),
+        "manifest_diff": _with(FILES_SQL, f"SELECT path, CASE WHEN size < {LOW} THEN 'added' WHEN size > {HIGH} THEN 'removed' ELSE 'changed' END AS change FROM (SELECT *, count(*) OVER (PARTITION BY size) AS n FROM f) WHERE size < {LOW} OR size > {HIGH} OR n > 1"),
         "conversation_groups": _with(conv, "h AS (SELECT *, sha256(content) AS hash FROM f)", GROUPS),
         "conversation_folders": _with(conv, "h AS (SELECT *, sha256(content) AS hash FROM f)", conv_folders, STATS_SQL, "SELECT * FROM st"),
         "page_folders": _with(page, FOLDERS_SQL, "SELECT * FROM fm"),
