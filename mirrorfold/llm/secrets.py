@@ -42,6 +42,8 @@ ENDPOINT = (
 )
 KINDS = [*BASE, "link_id", "link_secret", "link_endpoint"]
 SCOPE = 200
+#: Items folded into one list before lists are put together.
+CHUNK = 256
 MARK = "<SECRET>"
 
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
@@ -52,50 +54,72 @@ def _none() -> Column:
     return F.array().cast(_SPAN)
 
 
-def matches(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
-    """Spans of all matches of ``pattern`` whose ``group`` has ``least`` code points or more."""
+def gathered(items: Column, state: dict[str, Column], kind: str, step) -> Column:
+    """The arrays of type ``kind`` that ``step(acc, item)`` gives beside the next state, one after the other.
+
+    ``items`` must be a column of the table, for it is read chunk by chunk: a list is copied as it grows, so short
+    lists are built and then put together, and the cost stays near the number of items.
+    """
+    names = list(state)
+
+    def inner(acc: Column, x: Column) -> Column:
+        new, add = step(acc, x)
+        return F.struct(*(new[k].alias(k) for k in names), F.concat(acc["out"], add).alias("out"))
+
+    def outer(acc: Column, chunk: Column) -> Column:
+        zero = F.struct(*(acc[k].alias(k) for k in names), F.array().cast(kind).alias("out"))
+        return F.aggregate(chunk, zero, inner, lambda a: F.struct(*(a[k].alias(k) for k in names), F.concat(acc["outs"], F.array(a["out"])).alias("outs")))
+
+    last = F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * CHUNK + 1, CHUNK))
+    zero = F.struct(*(v.alias(k) for k, v in state.items()), F.array().cast(f"array<{kind}>").alias("outs"))
+    whole = F.flatten(F.aggregate(chunks, zero, outer, lambda a: a["outs"]))
+    return F.when(F.size(items) > 0, whole).otherwise(F.array().cast(kind))
+
+
+def match_steps(text: Column, pattern: str, group: int = 0) -> Column:
+    """Per match of ``pattern``: code points of the gap before it (g), of the match (m) and of ``group`` (s)."""
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else found
     steps = F.zip_with(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), sizes, lambda x, s: F.struct(x["g"].alias("g"), x["m"].alias("m"), s.alias("s")))
+    steps = F.filter(steps, lambda x: x["m"].isNotNull())  # the gap after the last match
+    return F.when(text.rlike(pattern), steps).otherwise(F.array().cast("array<struct<g:int,m:int,s:int>>"))
 
-    def step(acc: Column, x: Column) -> Column:
+
+def spans(steps: Column, rank: int, least: int = 0) -> Column:
+    """Places of the matches whose group has ``least`` code points or more."""
+
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         start = acc["at"] + x["g"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["m"]).alias("end"))
-        return F.struct(
-            F.coalesce(start + x["m"], acc["at"]).alias("at"),
-            F.when(x["s"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
+        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["m"]).alias("end")))
+        return {"at": start + x["m"]}, F.when(x["s"] >= least, span).otherwise(_none())
 
-    swept = F.aggregate(steps, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), swept).otherwise(_none())
+    return gathered(steps, {"at": F.lit(0)}, _SPAN, step)
 
 
 def _sweep(parts: Column, forwards: bool) -> Column:
-    """Per part, in the order of ``parts``: 1 if an identifier is in scope on this side, plus 2 for a secret, plus 4 if a strong span overlaps."""
+    """Per part, in the order of ``parts``: 1 if an identifier is in scope on the side passed before, plus 2 for a secret, plus 4 if a strong span overlaps."""
     near, far = ("end", "start") if forwards else ("start", "end")
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         def gap(role: str) -> Column:
             return x[far] - acc[role] if forwards else acc[role] - x[far]
 
         def carried(role: str, ranks: list[int]) -> Column:
             nearer = F.greatest(acc[role], x[near]) if forwards else F.least(acc[role], x[near])
-            return F.when(x["rank"].isin(ranks), nearer).otherwise(acc[role]).alias(role)
+            return F.when(x["rank"].isin(ranks), nearer).otherwise(acc[role])
 
         flags = F.when(gap("i") <= SCOPE, 1).otherwise(0) + F.when(gap("s") <= SCOPE, 2).otherwise(0) + F.when(gap("b") < 0, 4).otherwise(0)
-        return F.struct(carried("i", [1, 3]), carried("s", [0, 2, 4]), carried("b", [0, 1, 2]), F.concat(acc["out"], F.array(flags)).alias("out"))
+        return {"i": carried("i", [1, 3]), "s": carried("s", [0, 2, 4]), "b": carried("b", [0, 1, 2])}, F.array(flags)
 
     start = F.lit(-_FAR if forwards else _FAR)
-    zero = F.struct(start.alias("i"), start.alias("s"), start.alias("b"), F.array().cast("array<int>").alias("out"))
-    order = parts if forwards else F.reverse(parts)
-    out = F.aggregate(order, zero, step, lambda acc: acc["out"])
-    return out if forwards else F.reverse(out)
+    return gathered(parts, {"i": start, "s": start, "b": start}, "array<int>", step)
 
 
-def linked(parts: Column) -> Column:
-    """The strong spans, and the weak ones whose complementary parts are in scope."""
-    both = F.zip_with(_sweep(parts, True), _sweep(parts, False), lambda a, b: a.bitwiseOR(b))
+def linked(parts: Column, before: Column, after: Column) -> Column:
+    """The strong spans, and the weak ones whose complementary parts are in scope: from the flags of both sweeps."""
+    both = F.zip_with(before, after, lambda a, b: a.bitwiseOR(b))
     marked = F.zip_with(parts, both, lambda x, f: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), f.alias("f")))
 
     def stays(x: Column) -> Column:
@@ -117,17 +141,21 @@ def joined(spans: Column) -> Column:
 def scan_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with _text (null: empty), _assign, _access, _hex (strong spans), _base and _spans (all), in order."""
     t = F.col("_text")
-    weak = [(WEAK_ID, 3), (WEAK_SECRET, 4), (ENDPOINT, 5)]
-    return (
-        docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-        .withColumns({"_assign": matches(t, ASSIGN, 0, 2, ASSIGN_LEAST), "_access": matches(t, ACCESS, 1), "_hex": matches(t, HEX, 2)})
-        .withColumns({f"_weak{r}": matches(t, p, r) for p, r in weak})
-        .withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-        .withColumn("_parts", F.array_sort(F.concat("_base", *(f"_weak{r}" for _, r in weak))))
-        # A weak part needs another part; without any, the sweep has nothing to add.
-        .withColumn("_spans", F.when(F.size("_parts") > F.greatest(F.size("_base"), F.lit(1)), linked(F.col("_parts"))).otherwise(F.col("_base")))
-        .drop("_parts", *(f"_weak{r}" for _, r in weak))
-    )
+    strong = [(ASSIGN, 0, 2, ASSIGN_LEAST), (ACCESS, 1, 0, 0), (HEX, 2, 0, 0)]
+    weak = [(WEAK_ID, 3, 0, 0), (WEAK_SECRET, 4, 0, 0), (ENDPOINT, 5, 0, 0)]
+    every = [*strong, *weak]
+    names = [f"_{k}" for k in BASE] + [f"_weak{r}" for _, r, _, _ in weak]
+    parts, backwards = F.col("_parts"), F.col("_backwards")
+    # A weak part needs another part; without any, the sweep has nothing to add.
+    some = F.size("_parts") > F.greatest(F.size("_base"), F.lit(1))
+    out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumns({f"_m{r}": match_steps(t, p, g) for p, r, g, _ in every})
+    out = out.withColumns({c: spans(F.col(f"_m{r}"), r, least) for c, (_, r, _, least) in zip(names, every, strict=True)})
+    out = out.withColumn("_base", F.array_sort(F.concat(*names[:3]))).withColumn("_parts", F.array_sort(F.concat("_base", *names[3:])))
+    out = out.withColumn("_parts", F.when(some, parts).otherwise(_none())).withColumn("_backwards", F.reverse("_parts"))
+    out = out.withColumns({"_before": _sweep(parts, True), "_after": _sweep(backwards, False)})
+    out = out.withColumn("_spans", F.when(F.size("_parts") > 0, linked(parts, F.col("_before"), F.reverse("_after"))).otherwise(F.col("_base")))
+    return out.drop("_parts", "_backwards", "_before", "_after", *names[3:], *(f"_m{r}" for _, r, _, _ in every))
 
 
 def digests(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -142,15 +170,19 @@ def digests(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def _merged(spans: Column) -> Column:
-    """Disjoint spans that cover the same places."""
+    """Disjoint spans that cover the same places: each span's start where no earlier one reaches it, with the furthest end until then.
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        apart = (F.size(acc) == 0) | (x["start"] > F.try_element_at(acc, F.lit(-1))["end"])
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when(apart, F.concat(acc, F.array(x))).otherwise(grown)
+    The last of ``spans`` only closes the one before.
+    """
 
-    return F.aggregate(spans, _none(), step)
+    def opens(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        new = x["start"] > acc["end"]
+        start = F.when(new, x["start"]).otherwise(acc["start"])
+        end = F.when(new, x["end"]).otherwise(F.greatest(acc["end"], x["end"]))
+        closed = F.array(F.struct(acc["start"].alias("start"), F.lit(0).alias("rank"), acc["end"].alias("end")))
+        return {"start": start, "end": end}, F.when(new & (acc["start"] >= 0), closed).otherwise(_none())
+
+    return gathered(spans, {"start": F.lit(-1), "end": F.lit(-1)}, _SPAN, opens)
 
 
 def redacted(docs: DataFrame, mark: str = MARK) -> DataFrame:
@@ -159,15 +191,27 @@ def redacted(docs: DataFrame, mark: str = MARK) -> DataFrame:
     A text without spans, null included, stays as it is.
     """
     packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    found = scan_documents(packed).withColumn("_cut", F.when(F.size("_spans") > 0, _merged(F.col("_spans"))))
+    far = F.array(F.struct(F.lit(_FAR).alias("start"), F.lit(0).alias("rank"), F.lit(_FAR).alias("end")))
+    found = scan_documents(packed).withColumn("_closed", F.when(F.size("_spans") > 0, F.concat("_spans", far)))
+    found = found.withColumn("_cut", F.when(F.col("_closed").isNotNull(), _merged(F.col("_closed"))))
     cut, t = F.col("_cut"), F.col("_text")
 
-    def piece(x: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(cut, i)["end"])
-        return F.concat(F.substr(t, before + 1, x["start"] - before), F.lit(mark))
+    def part(i: Column) -> Column:
+        """Some spans, where the text before them begins, and the text up to the last of them."""
+        some = F.slice(cut, i * CHUNK + 1, CHUNK)
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(cut, i * CHUNK)["end"])
+        return F.struct(some.alias("cut"), begin.alias("begin"), F.substr(t, begin + 1, F.element_at(some, -1)["end"] - begin).alias("text"))
+
+    def pieces(p: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            before = F.when(i == 0, p["begin"]).otherwise(F.try_element_at(p["cut"], i)["end"])
+            return F.concat(F.substr(p["text"], before - p["begin"] + 1, x["start"] - before), F.lit(mark))
+
+        return F.transform(p["cut"], piece)
 
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(cut) - 1) / CHUNK).cast("int")), part)
     tail = F.substr(t, F.element_at(cut, -1)["end"] + 1)
-    whole = F.concat(F.array_join(F.transform(cut, piece), ""), tail)
+    whole = F.concat(F.array_join(F.flatten(F.transform(parts, pieces)), ""), tail)
     out = found.select("_row", F.when(cut.isNotNull(), whole).otherwise(F.col("text")).alias("text"), cut.isNotNull().alias("_new"))
 
     def column(c: str) -> Column:

@@ -87,3 +87,22 @@ def test_redaction(spark):
 def test_no_python_in_the_plan(spark):
     plan = secrets.digests(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    n = 60_000
+    text = " ".join(f"{i:016x}" for i in range(n)) + " username: bob token=abcdefghijklmnop"
+    began = time.time()
+    r = secrets.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_hex == n and r.spans == show(plain_fast(text, n))
+    out = secrets.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out.text == " ".join([secrets.MARK] * n) + f" {secrets.MARK} {secrets.MARK}"
+    assert time.time() - began < 120
+
+
+def plain_fast(text, n):
+    spans = [(17 * i, 2, 17 * i + 16) for i in range(n)]
+    at = 17 * n
+    return [*spans, (at, 3, at + 13), (at + 14, 0, at + 36)]
