@@ -82,6 +82,11 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     """
     if right.count() * row_bytes(right) <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)
+    return shuffled_join(left, right, on, how)
+
+
+def shuffled_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join with a stored ``right`` that grows with the corpus, one row per key: never broadcast, hot keys are split."""
     return left.join(right.hint("merge"), on, how)
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrow import map_arrow
-from .common import Scratch, materialized, sized_join
+from .common import Scratch, materialized, shuffled_join, sized_join
 
 LENGTH, GRAM = 200, 64
 #: Distinct contexts of an anchor that go to one task at most.
@@ -360,11 +360,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         with Scratch(docs.sparkSession) as early:
             found = materialized(_found_anchors(keyed, length, gram), "anchors", early)
             twice = materialized(found.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "repeated-grams", early)
-            shared = materialized(sized_join(found, twice, ["a"], "left_semi"), "shared-anchors", scratch)
+            shared = materialized(shuffled_join(found, twice, ["a"], "left_semi"), "shared-anchors", scratch)
         place = F.min(F.struct("kd", "kt", "lo", "wins", "off")).alias("p")
         contexts = materialized(shared.groupBy("a", "c").agg(F.count("*").alias("n"), place), "contexts", scratch)
         several = materialized(contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "several-contexts", scratch)
-        compared = sized_join(contexts, several, ["a"], "inner").select("a", (F.col("m") > hot).alias("many"), "n", "p.*")
+        compared = shuffled_join(contexts, several, ["a"], "inner").select("a", (F.col("m") > hot).alias("many"), "n", "p.*")
         bytes_ = materialized(_contexts(keyed, compared, length), "context-bytes", scratch)
         small, whole = [bytes_.where("NOT many").select(F.col("a").cast("string").alias("g"), "ctx", "wins", "n", "kd", "kt", "lo")], []
         many = bytes_.where("many")
