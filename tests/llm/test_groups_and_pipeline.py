@@ -72,6 +72,20 @@ def test_groups_equal_those_of_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_repeats_of_a_line_are_near_copies(spark):
+    rng = random.Random(31)
+    texts = []
+    for times in (8, 15, 30, 100):
+        for _ in range(5):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+            line = [f"l{rng.randrange(10**6)}" for _ in range(12)]
+            texts += [" ".join(words + line * 2), " ".join(words + line * times)]
+    want = plain_groups(texts)
+    assert want == [i // 2 * 2 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_groups.one_of_each(docs).collect()) == sorted(set(want))
+
+
 def test_rows_that_repeat_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, "g h"), (None, "g h"), (3, "other words stand here now"), (3, "quite different ones are there")], "doc_id long, text string")
     got = Counter((r.doc_id, r.text) for r in simhash_groups.one_of_each(docs).collect())
