@@ -86,6 +86,33 @@ def test_repeats_of_a_line_are_near_copies(spark):
     assert sorted(r.doc_id for r in simhash_groups.one_of_each(docs).collect()) == sorted(set(want))
 
 
+def test_pairs_inside_a_family_just_below_the_threshold(spark):
+    rng = random.Random(17)
+
+    def prose(n):
+        return [f"w{rng.randrange(10**7)}" for _ in range(n)]
+
+    base, texts = prose(200), []
+    for _ in range(150):  # similarity 0.84 inside a pair, 0.77 to all others
+        tail = prose(10)
+        texts += [" ".join(base + tail + prose(20)) for _ in range(2)]
+    want = plain_groups(texts)
+    assert want == [i // 2 * 2 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_groups.one_of_each(docs).collect()) == sorted(set(want))
+
+
+def test_open_pairs_leave_none_out():
+    rng = np.random.default_rng(3)
+    n = simhash_groups.BLOCK + 300
+    fa, fb = (rng.integers(0, 4, n, dtype=np.int64) for _ in range(2))
+    root = rng.integers(0, 40, n)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if root[i] != root[j] and int(fa[i] ^ fa[j]).bit_count() + int(fb[i] ^ fb[j]).bit_count() <= 1}
+    assert simhash_groups.open_pairs(fa, fb, root, 1, simhash_groups.BLOCK) == (want, False)
+    some, left = simhash_groups.open_pairs(fa, fb, root, 1, 4)
+    assert left and some < want
+
+
 def test_rows_that_repeat_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, "g h"), (None, "g h"), (3, "other words stand here now"), (3, "quite different ones are there")], "doc_id long, text string")
     got = Counter((r.doc_id, r.text) for r in simhash_groups.one_of_each(docs).collect())
