@@ -29,11 +29,11 @@ HEX = r"[0-9a-f]{16,}"
 BASE = ["assign", "access", "hex"]
 
 WEAK_ID = (
-    r"""(?i:\b(?:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64})"""
+    r"""(?i:\b(?:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,})"""
     r"""|\b(?:ASIA|AGPA|AIDA|AROA|ANPA)[A-Z0-9]{12,}"""
 )
 WEAK_SECRET = (
-    r"""(?i:\b(?:pwd|pass|passphrase|auth|credentials?|private_?key|access_?key)["']?\x20*[:=]\x20*["']?[^\s"',;]{6,128})"""
+    r"""(?i:\b(?:pwd|pass|passphrase|auth|credentials?|private_?key|access_?key)["']?\x20*[:=]\x20*["']?[^\s"',;]{6,})"""
     r"""|(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"""
 )
 ENDPOINT = (

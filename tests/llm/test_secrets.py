@@ -84,6 +84,17 @@ def test_redaction(spark):
         assert r._text == r._row == "clash" and r.text == want and r.n_chars == (None if t is None else len(want))
 
 
+def test_linked_spans_end_where_the_value_ends(spark):
+    value, name = "Zz9-_." * 50, "bob.Smith-" * 20
+    texts = [f"username={name} auth: {value} end", f"private_key={value}{value}\nclient_id: {name}", f"login: {name}; access_key='{'Q' * 100_000}' end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    m = secrets.MARK
+    assert got == {0: f"{m} {m} end", 1: f"{m}\n{m}", 2: f"{m}; {m}' end"}
+    for r in secrets.digests(docs).collect():
+        assert r.spans == show(plain(texts[r.doc_id])[1])
+
+
 def test_no_python_in_the_plan(spark):
     plan = secrets.digests(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
