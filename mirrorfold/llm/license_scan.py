@@ -54,7 +54,7 @@ FAMILIES = {
 }
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_TAG = re.compile(r"(?i)spdx-license-identifier:[ \t]*([^\r\n]{0,400})")
+_TAG = re.compile(r"(?i)spdx-license-identifier:[ \t]*([^\r\n]*)")
 _TOKEN = re.compile(r"\s*(?:(\()|(\))|([A-Za-z0-9][A-Za-z0-9.:+-]*))")
 _ORDER = {"or": 1, "and": 2, "with": 3}
 

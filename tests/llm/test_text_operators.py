@@ -174,6 +174,13 @@ def test_license_expressions():
     assert license_scan.scan("// SPDX-License-Identifier: LGPL-2.1+\n")["labels"] == "lgpl"
 
 
+def test_license_expression_on_a_long_line():
+    names = [f"LicenseRef-{i}" for i in range(600)]
+    got = license_scan.scan("# SPDX-License-Identifier: (" + " AND ".join(names) + ") AND MIT\nnext line")
+    assert got["labels"] == ",".join(sorted(["mit", *map(str.lower, names)]))
+    assert got["score"] == 1
+
+
 def test_base_counts_by_hand():
     text = "a b c d e\nx\na b c d e\n\n \n# <tag> * é\na b c d e"
     words = text.split()
