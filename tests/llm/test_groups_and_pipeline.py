@@ -132,6 +132,23 @@ def test_ring_keys_meet():
     assert missed <= 3  # a set of few shingles may have an empty segment as its only equal one
 
 
+def test_short_texts_always_meet(spark):
+    rng = np.random.default_rng(5)
+    texts, want = [], []
+    for common, p, q in ((4, 1, 0), (8, 1, 1), (8, 2, 0), (12, 2, 1)):
+        for _ in range(150):
+            d = rng.integers(0, 2**63, common + p + q, dtype=np.uint64)
+            a, b = d[: common + p], np.r_[d[:common], d[common + p :]]
+            assert set(simhash_groups.ring_keys(np.unique(a))) & set(simhash_groups.ring_keys(np.unique(b)))
+    for k in range(300):  # 4 of 5 shingles
+        words = [f"w{rng.integers(10**9)}" for _ in range(9)]
+        texts += [" ".join(words), " ".join(words[:8])]
+        want += [2 * k, 2 * k]
+    assert plain_groups(texts) == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_groups.one_of_each(docs).collect()) == sorted(set(want))
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     rng = random.Random(8)
