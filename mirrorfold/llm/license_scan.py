@@ -117,10 +117,24 @@ def parse_expression(text: str) -> tuple[list, bool]:
     return out, whole
 
 
+def families(expression: list) -> set[str]:
+    """All families that an expression names; an exception behind ``with`` is none."""
+    stack: list[set[str]] = []
+    for x in expression:
+        if isinstance(x, str):
+            stack.append({family(x)})
+        elif len(stack) > 1:
+            b, a = stack.pop(), stack.pop()
+            if x[0] != "with":
+                a, b = (a, b) if len(a) >= len(b) else (b, a)
+                a |= b
+            stack.append(a)
+    return set().union(*stack)
+
+
 def evaluate(expression: list) -> tuple[set[str], list[frozenset[str]]]:
-    """All families that an expression names, and the alternatives that it leaves to choose from."""
+    """All families that an expression names, and the first 64 alternatives that it leaves to choose from."""
     stack: list[list[frozenset[str]]] = []
-    labels: set[str] = set()
     for x in expression:
         if isinstance(x, str):
             stack.append([frozenset([family(x)])])
@@ -132,10 +146,7 @@ def evaluate(expression: list) -> tuple[set[str], list[frozenset[str]]]:
                 stack.append(list(dict.fromkeys(p | q for p in a for q in b))[:64])
             else:  # an exception leaves the licence's family
                 stack.append(a)
-    for alternatives in stack:
-        for a in alternatives:
-            labels |= a
-    return labels, stack[-1] if stack else []
+    return families(expression), stack[-1] if stack else []
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -176,8 +187,7 @@ def scan(text: str | None) -> dict:
         for m in _TAG.finditer(text):
             parsed, good = parse_expression(m[1])
             whole &= good
-            labels, _ = evaluate(parsed)
-            own |= labels
+            own |= families(parsed)
             expressions.append(m[1].strip())
     labels = {PHRASES[p] for _, p in base}
     doubt = 1.0

@@ -181,6 +181,14 @@ def test_license_expression_on_a_long_line():
     assert got["score"] == 1
 
 
+def test_license_labels_of_many_alternatives():
+    names = [f"LicenseRef-{i}" for i in range(3000)]
+    choices = " AND ".join(f"({a} OR {b})" for a, b in zip(names[:14:2], names[1:14:2], strict=True))
+    for line, want in ((choices, names[:14]), (" OR ".join(names), names)):
+        assert license_scan.scan("SPDX-License-Identifier: " + line)["labels"] == ",".join(sorted(map(str.lower, want)))
+    assert len(license_scan.evaluate(license_scan.parse_expression(choices)[0])[0]) == 14
+
+
 def test_base_counts_by_hand():
     text = "a b c d e\nx\na b c d e\n\n \n# <tag> * é\na b c d e"
     words = text.split()
