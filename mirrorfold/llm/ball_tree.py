@@ -128,12 +128,15 @@ def integer_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, shard_rows: int = SHARD) -> DataFrame:
-    """For integer vectors (vec_id, x) and the rows among them that are queries: (query_id, rank, vec_id, score)."""
+    """For integer vectors (vec_id, x) and the rows among them that are queries: (query_id, rank, vec_id, score).
+
+    Where a query's id repeats with different vectors, the smallest of them in order of its components is searched.
+    """
     v = materialized(vectors, "vectors")
     shards = max(1, -(-v.count() // shard_rows))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     candidates = v.select(shard.alias("shard"), F.lit(0).alias("kind"), "vec_id", "x", F.lit(None).cast("double").alias("floor"))
-    queries = v.where(is_query).select("vec_id", "x").dropDuplicates(["vec_id"])
+    queries = v.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
     home = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(shards)).cast("int")
     first = queries.select(home.alias("shard"), F.lit(1).alias("kind"), "vec_id", "x", F.lit(None).cast("double").alias("floor"))
     found = materialized(_search(candidates, first, k), "first-shard")

@@ -103,3 +103,11 @@ def test_all_rows_come_out_once_in_order(spark, tmp_path):
     assert sorted(map(repr, pfair.interleaved(many, block=3).collect())) == sorted(map(repr, many.collect()))
     assert pfair.scheduled(docs.where("false")).count() == 0
     assert pfair.interleaved(docs.where("false")).count() == 0
+
+
+def test_query_ids_that_repeat(spark):
+    rows = [(100 * q, [sign * (q + 1), i]) for q in range(20) for i, sign in enumerate((1, -1, 1))] + [(1, [1, 0]), (2, [-1, 0])]
+    for order in (rows, rows[::-1]):
+        vectors = spark.createDataFrame(order, "vec_id long, x array<long>").coalesce(1)
+        got = ball_tree.top_k(vectors, F.col("vec_id") % 100 == 0, k=50).where("vec_id in (1, 2)").collect()
+        assert {(r.query_id, r.vec_id, r.score) for r in got} == {(100 * q, v, (q + 1) * (-1 if v == 1 else 1)) for q in range(20) for v in (1, 2)}
