@@ -18,8 +18,8 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
-    """For edges (u, v) of one orderable type: (node, root) with the smallest node of its component, stored.
+def components(edges: DataFrame, scratch: Scratch, most_steps: int = 60) -> DataFrame:
+    """For edges (u, v) of one orderable type: (node, root) with the smallest node of its component, stored in ``scratch``.
 
     Only nodes with an edge to another node appear. An empty table gives an empty result.
     """
@@ -30,14 +30,14 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     before = _digest(e)
     for _ in range(most_steps):
         kept = Scratch(spark)
-        with Scratch(spark) as scratch:
+        with Scratch(spark) as step:
             # Large star: every larger neighbour of a node is joined to the smallest in the node's neighbourhood.
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = materialized(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", scratch)
+            least = materialized(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", step)
             large = sized_join(both.where("v > u"), least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
             # Small star: a node and its smaller neighbours are joined to the smallest of them.
-            large = materialized(large, "large-star", scratch)
-            least = materialized(large.groupBy("u").agg(F.min("v").alias("m")), "least", scratch)
+            large = materialized(large, "large-star", step)
+            least = materialized(large.groupBy("u").agg(F.min("v").alias("m")), "least", step)
             small = sized_join(large, least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
             e = materialized(small, "small-star", kept)
@@ -45,6 +45,7 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
         former = kept
         after = _digest(e)
         if after == before:
+            scratch.paths += kept.paths
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = after
     raise RuntimeError("components did not settle")

@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = LIMIT, k
     marked = materialized(with_fingerprints(docs, width, tuple(dict.fromkeys(["doc_id", *keep]))), "fingerprints")
     with Scratch(docs.sparkSession) as scratch:
         fps = materialized(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints", scratch)
-        roots = materialized(components(links(fps.select("fp"), limit)).withColumnRenamed("node", "fp"), "roots", scratch)
+        roots = components(links(fps.select("fp"), limit), scratch).withColumnRenamed("node", "fp")
         members = sized_join(fps, roots, ["fp"]).withColumn("root", F.coalesce("root", "fp"))
         of_root = materialized(members.groupBy("root").agg(F.min("least").alias("component_id")), "roots", scratch)
         named = materialized(sized_join(members, of_root, ["root"], "inner").select("fp", "component_id"), "components")

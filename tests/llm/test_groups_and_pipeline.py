@@ -104,13 +104,30 @@ def test_pairs_inside_a_family_just_below_the_threshold(spark):
 
 def test_open_pairs_leave_none_out():
     rng = np.random.default_rng(3)
-    n = simhash_groups.BLOCK + 300
+    n = simhash_groups.STEP * 3 + 300
     fa, fb = (rng.integers(0, 4, n, dtype=np.int64) for _ in range(2))
-    root = rng.integers(0, 40, n)
-    want = {(i, j) for i in range(n) for j in range(i + 1, n) if root[i] != root[j] and int(fa[i] ^ fa[j]).bit_count() + int(fb[i] ^ fb[j]).bit_count() <= 1}
-    assert simhash_groups.open_pairs(fa, fb, root, 1, simhash_groups.BLOCK) == (want, False)
-    some, left = simhash_groups.open_pairs(fa, fb, root, 1, 4)
-    assert left and some < want
+    for parts in (1, 2):
+        root, part = rng.integers(0, 40, n) // 25, rng.integers(0, parts, n)
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if root[i] != root[j] and (parts == 1 or part[i] != part[j]) and int(fa[i] ^ fa[j]).bit_count() + int(fb[i] ^ fb[j]).bit_count() <= 1}
+
+        def found(most):
+            return [(min(i, j), max(i, j)) for a, b in simhash_groups.open_pairs(fa, fb, root, part, 1, most) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+
+        assert sorted(found(None)) == sorted(want)
+        some = found(4)
+        assert set(some) < want and len(some) <= 4 * n
+
+
+@pytest.mark.parametrize("hot", [3, 40])
+def test_hot_keys_are_dealt_by_parts(spark, monkeypatch, hot):
+    texts = corpus()
+    first, later = simhash_groups.first_edges, simhash_groups.open_edges
+    monkeypatch.setattr(simhash_groups, "first_edges", lambda shared: first(shared, hot=hot))
+    monkeypatch.setattr(simhash_groups, "open_edges", lambda *a, **k: later(*a, **k, hot=hot))
+    check = simhash_groups.similar_edges
+    monkeypatch.setattr(simhash_groups, "similar_edges", lambda *a: check(*a, most_bytes=20_000))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_groups.one_of_each(docs).collect()) == sorted(set(plain_groups(texts)))
 
 
 def test_rows_that_repeat_and_null_ids(spark):
