@@ -1,230 +1,250 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The documents of a source are cut into blocks. Block i of a source of weight w (i from 1) is released at slot
-floor((i - 1) / w) and due at slot ceil(i / w); slots go to the released block of the earliest deadline. Weights
-are shares of a period of slots, so the schedule repeats each period and only one period is ever computed; the
-slot of any block follows from its number. In every prefix, a source has had its weighted share of the slots
-to within one block. When a source has no block left, a new phase starts, in which the others share the slots by
-their weights; each phase keeps the bound on its own.
+The documents of a source are cut into blocks, and each block takes a slot. In the ideal flow all sources that
+have blocks left are served at the same time, in proportion to their weights. Block i of a source (from 0) is
+released at the slot in which that flow begins it and due at the slot by which the flow has ended it; slots go to
+the released block of the earliest deadline. So in every prefix of slots a source has had what the flow gives it to
+within less than one block: until some source runs out that is its target weight times the slots, and after that
+the others share the slots by their weights. The windows follow from whole-number weights by whole-number
+arithmetic; nothing is rounded, however long the run is.
+
+One unit of the flow serves each source as many blocks as its weight says. At the ends of units no block is half
+done, so units are scheduled each on its own, by different tasks: their cost is linear in the blocks. Weights that
+are decimals are taken as exactly these decimals. Weights without a small common denominator make one unit of the
+whole run, which one task then schedules as a stream.
 
 Every row comes out once: the schedule orders documents, it does not repeat or drop any. Ranks within a source
 come from buckets of a hash, whose sizes are summed first, so that a source that holds most rows is spread over
 many tasks.
 
-Results for unusual rows: a null source is a source of its own; a source without a target weight gets the
-smallest weight of the others; ids that are null or repeat are ranked by a hash of the row and then arbitrarily;
-an empty table gives an empty result.
+Results for unusual rows: a null source is a source of its own; a source without a target weight, or with one
+that is not positive, gets the smallest weight of the others; ids that are null or repeat are ranked by a hash of
+id and source and then arbitrarily, rows of one such hash by one task; texts of any length are carried along
+unread; an empty table gives an empty result. Columns of the input that are named like a result (``RESULT``) are
+replaced by it in ``scheduled``; ``interleaved`` keeps columns of any names as they are.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from fractions import Fraction
+from math import isqrt, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialized
+from ..functions.arrow import map_arrow
+from .common import BROADCAST_BYTES, Scratch, materialized, row_bytes, sized_join
 
-#: Documents in a block, slots in a period, and rows ranked in one bucket.
-BLOCK, PERIOD, BUCKET = 64, 1000, 400
-#: Buckets at most: with more rows, buckets grow instead. Rows in the table of cuts at most.
+#: Documents in a block, and rows ranked in one bucket.
+BLOCK, BUCKET = 64, 400
+#: Buckets over all sources: with more rows, buckets grow instead.
 BUCKETS = 20_000
-MOST_CUTS = 200_000
+#: Columns that ``scheduled`` adds.
+RESULT = ["_source", "_rank", "_block", "_slot", "_place"]
+BATCH = 1 << 16
 
 
-def quotas(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of a period per source, by largest remainders, at least one each; the period grows with the sources."""
-    names = sorted(weights)
-    period = max(period, 10 * len(names))
-    exact = {s: Fraction(weights[s]) for s in names}
-    total = sum(exact.values())
-    if not names or total <= 0 or min(exact.values()) <= 0:
+def whole_weights(weights: Mapping[str, float | Fraction]) -> dict[str, int]:
+    """The smallest whole numbers in the same proportions; a float counts as the decimal that it is written as."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
         raise ValueError("weights must be positive")
-    share = {s: exact[s] / total * period for s in names}
-    out = {s: max(1, int(share[s])) for s in names}
-    while (gap := period - sum(out.values())) != 0:
-        step = 1 if gap > 0 else -1
-        order = sorted((s for s in names if step > 0 or out[s] > 1), key=lambda s: (step * (out[s] - share[s]), s))
-        for s in order[: abs(gap)]:
-            out[s] += step
-    return out
-
-
-def edf(units: Mapping[str, int]) -> list[str]:
-    """Sources of the slots of one period: the released block with the earliest deadline goes first."""
-    period = sum(units.values())
-    waiting, ready = [], []
-    for s, e in units.items():
-        heapq.heappush(waiting, (0, -(-period // e), s, 1))
-    out = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            release, due, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, s, i))
-        due, s, i = heapq.heappop(ready)
-        if due <= t:
-            raise AssertionError("a deadline was missed")
-        out.append(s)
-        i += 1
-        if i <= units[s]:
-            heapq.heappush(waiting, ((i - 1) * period // units[s], -(-i * period // units[s]), s, i))
-    return out
+    scale = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+class Flow:
+    """The ideal service of sources with numbers of blocks and whole weights, and the schedule that follows it."""
+
+    def __init__(self, blocks: list[int], weights: list[int]):
+        self.blocks, self.weights = blocks, weights
+        # Sources in the order in which they run out, what those before have had, and the weight of the others.
+        ends = sorted(range(len(blocks)), key=lambda s: Fraction(blocks[s], weights[s]))
+        self.end_blocks, self.end_weights = [blocks[s] for s in ends], [weights[s] for s in ends]
+        self.had, self.active = [0], [sum(weights)]
+        for n, w in zip(self.end_blocks, self.end_weights, strict=True):
+            self.had.append(self.had[-1] + n)
+            self.active.append(self.active[-1] - w)
+        self.units = max((-(-n // w) for n, w in zip(blocks, weights, strict=True)), default=0)
+
+    def ended(self, i: int, weight: int, lo: int, hi: int) -> int:
+        """Sources that have run out when a source of ``weight`` has had ``i`` blocks: a number from lo to hi."""
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if self.end_blocks[mid] * weight <= i * self.end_weights[mid]:
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
+
+    def schedule(self, unit: int) -> Iterator[tuple[int, int, int]]:
+        """(slot, source, block) of one unit, in the order of slots."""
+        every = len(self.blocks)
+        lo, hi = self.ended(unit, 1, 0, every), self.ended(unit + 1, 1, 0, every)
+        t = self.had[lo] + self.active[lo] * unit
+        waiting: list[tuple] = []
+        ready: list[tuple] = []
+
+        def window(release: int, s: int, i: int, p: int) -> tuple[int, int, int, int, int, int]:
+            """Release, deadline, source, block, sources run out at its end, release of the next block."""
+            w = self.weights[s]
+            p = self.ended(i + 1, w, p, hi)
+            whole, part = divmod(self.had[p] * w + self.active[p] * (i + 1), w)
+            return release, whole + (part > 0), s, i, p, whole
+
+        for s, (n, w) in enumerate(zip(self.blocks, self.weights, strict=True)):
+            if w * unit < n:
+                waiting.append(window(t, s, w * unit, lo))
+        heapq.heapify(waiting)
+        while waiting or ready:
+            while waiting and waiting[0][0] <= t:
+                _, due, s, i, p, after = heapq.heappop(waiting)
+                heapq.heappush(ready, (due, s, i, p, after))
+            due, s, i, p, after = heapq.heappop(ready)
+            if due <= t:
+                raise AssertionError("a deadline was missed")
+            yield t, s, i
+            if i + 1 < min(self.blocks[s], self.weights[s] * (unit + 1)):
+                heapq.heappush(waiting, window(after, s, i + 1, p))
+            t += 1
 
 
 @dataclass(frozen=True)
-class Phase:
-    """Slots from ``start`` on while the same sources have blocks: period, and by source its first block and its slots in a period."""
-
-    start: int
-    period: int
-    first: dict[str, int]
-    slots: dict[str, list[int]]
-
-
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[Phase]:
-    """Phases until all blocks are placed. Their number is at most that of the sources."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    out, start = [], 0
-    while left:
-        units = quotas({s: weights[s] for s in left}, period)
-        order = edf(units)
-        slots: dict[str, list[int]] = {s: [] for s in units}
-        for t, s in enumerate(order):
-            slots[s].append(t)
-        size = len(order)
-        # The phase ends after the slot in which some source places its last block.
-        ends = {s: (left[s] - 1) // units[s] * size + slots[s][(left[s] - 1) % units[s]] for s in left}
-        end = min(ends.values()) + 1
-        out.append(Phase(start, size, {s: done[s] for s in units}, slots))
-        for s in list(left):
-            placed = end // size * units[s] + sum(t < end % size for t in slots[s])
-            done[s] += placed
-            left[s] -= placed
-            if left[s] <= 0:
-                del left[s]
-        start += end
-    return out
+class Plan:
+    """What the driver knows of a schedule: numbers of documents and blocks by source, and the flow of the blocks."""
 
+    block: int
+    counts: dict[str, int]
+    flow: Flow
 
-@dataclass(frozen=True)
-class Plan:
-    """A schedule for given numbers of documents: what the driver knows of it, and the tables for the executors.
+    @property
+    def total(self) -> int:
+        return sum(self.counts.values())
 
-    ``buckets`` (_source, _buckets) has a row per source, ``lookup`` one per source and phase.
-    """
+    @property
+    def blocks(self) -> int:
+        return self.flow.had[-1]
 
-    total: int
-    sources: int
-    blocks: int
-    buckets: DataFrame
-    lookup: DataFrame
 
+def plan(docs: DataFrame, weights: Mapping[str, float] | None, source: str, block: int) -> Plan:
+    counts = {r["s"]: r["n"] for r in docs.groupBy(_source_name(source).alias("s")).agg(F.count("*").alias("n")).orderBy("s").collect()}
+    if weights is None:
+        whole = {s: max(1, isqrt(n)) for s, n in counts.items()}
+    else:
+        given = {s: weights[s[1:]] for s in counts if s and s[1:] in weights and weights[s[1:]] > 0}
+        least = min(given.values(), default=1)
+        whole = whole_weights({s: given.get(s, least) for s in counts})
+    return Plan(block, counts, Flow([-(-n // block) for n in counts.values()], list(whole.values())))
 
-def _source_name(source: str) -> F.Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
+def block_slots(docs: DataFrame, p: Plan) -> DataFrame:
+    """(_source, _block, _slot) of all blocks, made by tasks that schedule some units each."""
+    spark = docs.sparkSession
+    names, flow = list(p.counts), p.flow
+    tasks = max(1, min(flow.units, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-p.blocks // BATCH)))
 
-def _order(columns: list[str], source: str) -> F.Column:
-    """Place of a row within its source: a hash, not negative."""
-    return F.shiftrightunsigned(F.xxhash64(*(F.col(c) for c in columns if c in ("doc_id", source))), 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            t, s, i = zip(*rows, strict=True) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array([names[x] for x in s], pa.string()), pa.array(i, pa.int64()), pa.array(t, pa.int64())], names=["_source", "_block", "_slot"])
 
+        rows = []
+        for batch in batches:
+            for unit in batch.column(0).to_pylist():
+                for row in flow.schedule(unit):
+                    rows.append(row)
+                    if len(rows) >= BATCH:
+                        yield packed(rows)
+                        rows = []
+        yield packed(rows)
+
+    return map_arrow(spark.range(0, flow.units, 1, tasks), run, "_source string, _block long, _slot long")
 
-def plan(docs: DataFrame, weights: Mapping[str, float] | None, source: str, block: int, period: int) -> Plan:
-    spark = docs.sparkSession
-    counts = {r["s"]: r["n"] for r in docs.groupBy(_source_name(source).alias("s")).agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    if weights is None:
-        given = {s: n**0.5 for s, n in counts.items()}
-    else:
-        given = {s: float(weights[s[1:]]) for s in counts if s and s[1:] in weights}
-        least = min([w for w in given.values() if w > 0], default=1.0)
-        given = {s: given.get(s, least) if given.get(s, least) > 0 else least for s in counts}
-    steps = phases({s: -(-n // block) for s, n in counts.items()}, given, period)
-    rows = []
-    for p, nxt in zip(steps, [*steps[1:], None], strict=False):
-        for s, slots in p.slots.items():
-            until = nxt.first[s] if nxt is not None and s in nxt.first else -(-counts[s] // block)
-            if until > p.first[s]:
-                rows.append((s, p.first[s], until, p.start, p.period, slots))
-    per_bucket = max(BUCKET, -(-total // BUCKETS))
-    buckets = spark.createDataFrame([(s, -(-n // per_bucket)) for s, n in counts.items()], "_source string, _buckets long")
-    lookup = spark.createDataFrame(rows, "_source string, _from long, _until long, _start long, _period long, _slots array<int>")
-    return Plan(total, len(counts), sum(-(-n // block) for n in counts.values()), buckets, lookup)
-
-
-def _bucketed(docs: DataFrame, columns: list[str], p: Plan, source: str) -> DataFrame:
-    """Buckets are ranges of the order, so ranks rise from bucket to bucket."""
-    dealt = docs.select(*columns, _source_name(source).alias("_source"), _order(columns, source).alias("_order")).join(F.broadcast(p.buckets), "_source")
-    # The upper 31 of 63 bits, scaled to the number of buckets.
-    return dealt.withColumn("_bucket", F.shiftright(F.shiftright("_order", 32) * F.col("_buckets"), 31)).drop("_buckets")
 
+def _source_name(source: str) -> F.Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
-def _placed(ranked: DataFrame, p: Plan, block: int) -> DataFrame:
-    """Adds _block, _slot and _place to rows with _source and _rank."""
-    b = ranked.withColumn("_block", F.floor(F.col("_rank") / F.lit(block)).cast("long"))
-    look = p.lookup.withColumnRenamed("_source", "_s")
-    b = b.join(F.broadcast(look), (F.col("_source") == F.col("_s")) & (F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_until"))).drop("_s")
-    i = F.col("_block") - F.col("_from")
-    e = F.size("_slots")
-    slot = F.col("_start") + F.floor(i / e).cast("long") * F.col("_period") + F.element_at("_slots", (i % e + 1).cast("int"))
-    out = b.withColumn("_slot", slot.cast("long")).withColumn("_place", F.col("_slot") * block + F.col("_rank") % block)
-    return out.drop("_from", "_until", "_start", "_period", "_slots")
 
+def _order(docs: DataFrame, source: str) -> F.Column:
+    """Place of a row within its source: a hash, not negative."""
+    return F.shiftrightunsigned(F.xxhash64(*(F.col(c) for c in ("doc_id", source) if c in docs.columns)), 1)
 
-OWN = ("_source", "_bucket", "_buckets", "_order", "_before", "_first", "_rank", "_block", "_slot", "_place", "_part", "_r0")
+
+def _bucketed(rows: DataFrame, p: Plan) -> DataFrame:
+    """``rows`` with _bucket: buckets are ranges of the order, so ranks rise from bucket to bucket."""
+    per_bucket = max(BUCKET, -(-p.total // BUCKETS))
+    known = rows.sparkSession.createDataFrame([(s, -(-n // per_bucket)) for s, n in p.counts.items()], "_source string, _buckets long")
+    if len(p.counts) * row_bytes(known) <= BROADCAST_BYTES:
+        known = F.broadcast(known)
+    # The upper 31 of 63 bits, scaled to the number of buckets.
+    return rows.join(known, "_source").withColumn("_bucket", F.shiftright(F.shiftright("_order", 32) * F.col("_buckets"), 31)).drop("_buckets")
 
 
-def _ranked(docs: DataFrame, columns: list[str], p: Plan, source: str) -> DataFrame:
-    """Rows with _rank within their source, and _first, the rank of the first row of the same order."""
-    dealt = _bucketed(docs, columns, p, source)
-    sizes = dealt.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    # At most BUCKETS rows and one per source: small enough to send.
+def _placed(rows: DataFrame, p: Plan, scratch: Scratch) -> DataFrame:
+    """``rows`` (_source, _bucket, _order and others) with _rank, _block and _slot."""
+    sizes = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_source", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    w = Window.partitionBy("_source", "_bucket").orderBy("_order")
-    within = dealt.withColumns({"_rank": F.row_number().over(w), "_first": F.rank().over(w)}).join(F.broadcast(offsets), ["_source", "_bucket"])
-    return within.withColumns({"_rank": F.col("_before") + F.col("_rank") - 1, "_first": F.col("_before") + F.col("_first") - 1}).drop("_before")
+    # At most BUCKETS rows and one per source.
+    offsets = materialized(sizes.select("_source", "_bucket", F.coalesce(before, F.lit(0)).alias("_before")), "offsets", scratch)
+    within = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order")))
+    ranked = sized_join(within, offsets, ["_source", "_bucket"], "inner").withColumn("_rank", F.col("_before") + F.col("_rank") - 1).drop("_before")
+    ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / F.lit(p.block)).cast("long"))
+    return sized_join(ranked, materialized(block_slots(rows, p), "slots", scratch), ["_source", "_block"], "inner")
 
 
-def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", block: int = BLOCK) -> DataFrame:
     """``docs`` with _source, _rank (within it, from 0), _block (from 0), _slot and _place (_slot * block + place in the block).
 
-    Without weights, sources get the square root of their number of documents. One row per source goes to the
-    driver. What is sent to the executors has at most ``period`` slots per phase, and ``BUCKETS`` offsets.
+    Without weights, sources get the whole part of the square root of their number of documents. One row per source
+    goes to the driver.
     """
-    columns = [c for c in docs.columns if c not in OWN]
-    p = plan(docs, weights, source, block, period)
-    return _placed(_ranked(docs, columns, p, source), p, block).select(*columns, "_source", "_rank", "_block", "_slot", "_place")
+    p = plan(docs, weights, source, block)
+    row = F.struct(*(c for c in docs.columns if c not in RESULT)).alias("_row")
+    rows = _bucketed(docs.select(row, _source_name(source).alias("_source"), _order(docs, source).alias("_order")), p)
+    out = _placed(rows, p, Scratch(docs.sparkSession))  # the result still reads what it stores
+    return out.withColumn("_place", F.col("_slot") * block + F.col("_rank") % block).select("_row.*", *RESULT)
 
 
-def interleaved(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def interleaved(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", block: int = BLOCK) -> DataFrame:
     """The same rows and columns, in the order of the schedule: partitions in order, and rows in order within each.
 
-    The schedule is made on ids and sources alone. It says at which order within its source a row belongs to
-    which partition, and with that table whole rows are shuffled once, straight to their partition.
+    The schedule is made on ids and sources alone. It says which range of each bucket belongs to which partition,
+    and with that table whole rows are shuffled once, straight to their partition; the slots of a partition's
+    blocks travel with them.
     """
     spark = docs.sparkSession
-    keys = [c for c in ("doc_id", source) if c in docs.columns]
-    p = plan(docs, weights, source, block, period)
+    p = plan(docs, weights, source, block)
     if not p.total:
         return docs
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_CUTS // p.sources))
-    slim = _placed(_ranked(docs.select(*keys), keys, p, source), p, block)
-    part = F.floor(F.col("_place") * parts / F.lit(p.blocks * block)).cast("int")
-    cuts = slim.groupBy("_source", part.alias("_part")).agg(F.min(F.struct("_order", "_first")).alias("c"))
-    cuts = cuts.groupBy("_source", "c").agg(F.max("_part").alias("_part"))  # rows of one order stay together
-    until = F.lead("_lo").over(Window.partitionBy("_source").orderBy("_lo"))
-    cuts = cuts.select(F.col("_source").alias("_s"), "_part", F.col("c._order").alias("_lo"), F.col("c._first").alias("_r0"))
-    cuts = cuts.select("_s", "_part", "_lo", "_r0", F.col("_s").alias("_source")).withColumn("_hi", until).drop("_source")
-    cuts = materialized(cuts, "cuts")  # at most MOST_CUTS rows
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), _source_name(source).alias("_source"), _order(keys, source).alias("_order"))
-    inside = (F.col("_source") == F.col("_s")) & (F.col("_order") >= F.col("_lo")) & (F.col("_hi").isNull() | (F.col("_order") < F.col("_hi")))
-    dealt = rows.join(F.broadcast(cuts), inside).select("_row", "_source", "_order", "_part", "_r0").repartitionById(parts, F.col("_part"))
-    within = F.row_number().over(Window.partitionBy("_part", "_source").orderBy("_order"))
-    placed = _placed(dealt.withColumn("_rank", F.col("_r0") + within - 1), p, block)
-    return placed.sortWithinPartitions("_place").select("_row.*")
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), p.blocks))
+    key = [_source_name(source).alias("_source"), _order(docs, source).alias("_order")]
+    with Scratch(spark) as scratch:
+        slim = _placed(_bucketed(docs.select(*key), p), p, scratch)
+        part = F.floor(F.col("_slot") * parts / F.lit(p.blocks)).cast("int")
+        # Rows of one order can't be told apart here: they stay together.
+        slim = slim.withColumn("_part", F.max(part).over(Window.partitionBy("_source", "_bucket", "_order")))
+        slim = materialized(slim, "places", scratch)
+        ranges = slim.groupBy("_source", "_bucket", "_part").agg(F.min("_order").alias("_lo"))
+        until = F.lead("_lo").over(Window.partitionBy("_source", "_bucket").orderBy("_lo"))
+        ranges = materialized(ranges.withColumn("_hi", F.coalesce(until, F.lit((1 << 63) - 1))), "ranges")
+        marks = slim.groupBy("_source", "_part", "_block").agg(F.min("_slot").alias("_slot"), F.min("_rank").alias("_rank"))
+        marks = materialized(marks, "marks")
+    rows = _bucketed(docs.select(F.struct(*docs.columns).alias("_row"), *key), p)
+    inside = (F.col("_order") >= F.col("_lo")) & ((F.col("_order") < F.col("_hi")) | (F.col("_hi") == (1 << 63) - 1))
+    rows = sized_join(rows, ranges, ["_source", "_bucket"], "inner").where(inside)
+    none = F.lit(None).cast("long")
+    rows = rows.select("_row", "_source", "_part", F.lit(1).alias("_kind"), "_order", none.alias("_rank"), none.alias("_block"), none.alias("_slot"))
+    heads = marks.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_source", "_part", F.lit(0).alias("_kind"), none.alias("_order"), "_rank", "_block", "_slot")
+    dealt = rows.unionByName(heads).repartitionById(parts, F.col("_part"))
+    first = F.min("_rank").over(Window.partitionBy("_part", "_source"))
+    within = F.row_number().over(Window.partitionBy("_part", "_source", "_kind").orderBy("_order"))
+    ranked = dealt.withColumn("_rank", F.when(F.col("_kind") == 1, first + within - 1).otherwise(F.col("_rank")))
+    ranked = ranked.withColumn("_block", F.coalesce("_block", F.floor(F.col("_rank") / F.lit(block)).cast("long")))
+    slot = F.last("_slot", ignorenulls=True).over(Window.partitionBy("_part", "_source").orderBy("_block", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranked.withColumn("_slot", slot).where("_kind = 1")
+    return placed.sortWithinPartitions("_slot", "_rank").select("_row.*")
