@@ -3,16 +3,19 @@
 Strong spans (assignments, access identifiers, hexadecimal runs) are always reported. Weak candidates
 (identifiers, secrets, endpoints that alone mean little) are reported only where complementary parts co-occur:
 an identifier with a secret in its scope, a secret with an identifier, an endpoint with both. The scope of a
-span reaches ``SCOPE`` code points past both ends. The interval join of parts is a plane sweep inside the row:
-all spans of a text in order of their start, once forwards and once backwards, carrying the nearest end (or
-start) of each part, so that no pair of spans is ever formed and no text is shuffled.
+span reaches ``SCOPE`` code points past both ends; parts that overlap don't complement each other, and a weak
+candidate that overlaps a strong span is left to that. The interval join of parts is a plane sweep inside the row:
+all spans of a text in order, once forwards and once backwards, carrying the nearest end (or start) of each kind
+that lies apart, so that no pair of spans is ever formed and no text is shuffled.
 
 Positions are code points, ends exclusive. Java finds the same leftmost, non-overlapping matches for splitting
 and for extracting, so the lengths of gaps and matches give the places.
 
 Results for unusual rows: a null text counts as empty; a text without spans has counts of 0 and empty strings;
-repeated rows give repeated results; columns that clash with names of this module are replaced only where the
-result names them.
+spans that start at one place come in the order of their kinds; a value ends where its run of characters does,
+however long, and a very long text is held whole, with all its spans, by one task; repeated rows give repeated
+results; an empty table gives an empty result; columns that clash with names of this module are replaced only
+where the result names them.
 """
 
 from __future__ import annotations
@@ -28,19 +31,19 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 BASE = ["assign", "access", "hex"]
 
+#: Weak candidates, by kind; ``_START`` stands where no word goes on. Runs stay if they have exactly RUN_LENGTH.
+_START = "(?<![A-Za-z0-9_])"
 WEAK_ID = (
-    r"""(?i:\b(?:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,})"""
-    r"""|\b(?:ASIA|AGPA|AIDA|AROA|ANPA)[A-Z0-9]{12,}"""
-)
-WEAK_SECRET = (
-    r"""(?i:\b(?:pwd|pass|passphrase|auth|credentials?|private_?key|access_?key)["']?\x20*[:=]\x20*["']?[^\s"',;]{6,})"""
-    r"""|(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"""
+    rf"""(?i:{_START}(?:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{{3,}})"""
+    rf"""|{_START}(?:ASIA|AGPA|AIDA|AROA|ANPA)[A-Z0-9]{{12,}}"""
 )
+WEAK_SECRET = rf"""(?i){_START}(?:pwd|pass|passphrase|auth|credentials?|private_?key|access_?key)["']?\x20*[:=]\x20*["']?[^\s"',;]{{6,}}"""
 ENDPOINT = (
-    r"""(?i)\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s?ftp|s3)://[^\s"'<>]+"""
-    r"""|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,253}"""
+    rf"""(?i){_START}(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s?ftp|s3)://[^\s"'<>]+"""
+    rf"""|{_START}(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{{4,}}"""
 )
-KINDS = [*BASE, "link_id", "link_secret", "link_endpoint"]
+RUN, RUN_LENGTH = "[A-Za-z0-9+/=]{40,}", 40
+KINDS = [*BASE, "link_id", "link_secret", "link_endpoint", "link_secret"]
 SCOPE = 200
 #: Items folded into one list before lists are put together.
 CHUNK = 256
@@ -87,46 +90,83 @@ def match_steps(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), steps).otherwise(F.array().cast("array<struct<g:int,m:int,s:int>>"))
 
 
-def spans(steps: Column, rank: int, least: int = 0) -> Column:
-    """Places of the matches whose group has ``least`` code points or more."""
+def spans(steps: Column, rank: int, least: int = 0, most: int = _FAR) -> Column:
+    """Places of the matches whose group has ``least`` to ``most`` code points."""
 
     def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         start = acc["at"] + x["g"]
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["m"]).alias("end")))
-        return {"at": start + x["m"]}, F.when(x["s"] >= least, span).otherwise(_none())
+        return {"at": start + x["m"]}, F.when(x["s"].between(least, most), span).otherwise(_none())
 
     return gathered(steps, {"at": F.lit(0)}, _SPAN, step)
 
 
-def _sweep(parts: Column, forwards: bool) -> Column:
-    """Per part, in the order of ``parts``: 1 if an identifier is in scope on the side passed before, plus 2 for a secret, plus 4 if a strong span overlaps."""
+def _apart(parts: Column, backwards: Column) -> Column:
+    """``parts`` without the weak ones that a strong one overlaps; ``backwards`` are the same in reverse."""
+
+    def step(forwards: bool):
+        def one(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+            if forwards:
+                over, strong = acc["b"] > x["start"], F.greatest(acc["b"], x["end"])
+            else:
+                over, strong = acc["b"] < x["end"], F.least(acc["b"], x["start"])
+            return {"b": F.when(x["rank"] < 3, strong).otherwise(acc["b"])}, F.array(over)
+
+        return one
+
+    before = gathered(parts, {"b": F.lit(-_FAR)}, "array<boolean>", step(True))
+    after = F.reverse(gathered(backwards, {"b": F.lit(_FAR)}, "array<boolean>", step(False)))
+    over = F.zip_with(before, after, lambda a, b: a | b)
+    marked = F.zip_with(parts, over, lambda x, o: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), o.alias("o")))
+    kept = F.filter(marked, lambda x: (x["rank"] < 3) | ~x["o"])
+    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
+
+
+#: Kinds of weak parts that complement others, by role.
+_ROLES = {"i": [3], "s": [4, 6]}
+
+
+def _near(parts: Column, forwards: bool) -> Column:
+    """Per part (start, rank, end, f): f is 1 if an identifier that lies apart is in scope on the side passed before, plus 2 for a secret.
+
+    Forwards, ``parts`` come by start; backwards by end, the last first. Weak parts may overlap, but those of one
+    kind don't: of each, the last two are carried, and one of them is the nearest that lies apart.
+    """
     near, far = ("end", "start") if forwards else ("start", "end")
 
     def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
-        def gap(role: str) -> Column:
-            return x[far] - acc[role] if forwards else acc[role] - x[far]
+        def gap(place: Column) -> Column:
+            return x[far] - place if forwards else place - x[far]
+
+        def in_scope(role: str) -> Column:
+            found = gap(acc[role]) <= SCOPE
+            for k in _ROLES[role]:
+                last = acc[f"l{k}"]
+                found |= gap(F.when(gap(last) >= 0, last).otherwise(acc[f"p{k}"])) <= SCOPE
+            return found
 
         def carried(role: str, ranks: list[int]) -> Column:
             nearer = F.greatest(acc[role], x[near]) if forwards else F.least(acc[role], x[near])
             return F.when(x["rank"].isin(ranks), nearer).otherwise(acc[role])
 
-        flags = F.when(gap("i") <= SCOPE, 1).otherwise(0) + F.when(gap("s") <= SCOPE, 2).otherwise(0) + F.when(gap("b") < 0, 4).otherwise(0)
-        return {"i": carried("i", [1, 3]), "s": carried("s", [0, 2, 4]), "b": carried("b", [0, 1, 2])}, F.array(flags)
+        state = {"i": carried("i", [1]), "s": carried("s", [0, 2])}
+        for k in (3, 4, 6):
+            state[f"l{k}"] = F.when(x["rank"] == k, x[near]).otherwise(acc[f"l{k}"])
+            state[f"p{k}"] = F.when(x["rank"] == k, acc[f"l{k}"]).otherwise(acc[f"p{k}"])
+        f = F.when(in_scope("i"), 1).otherwise(0) + F.when(in_scope("s"), 2).otherwise(0)
+        return state, F.array(F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), f.alias("f")))
 
     start = F.lit(-_FAR if forwards else _FAR)
-    return gathered(parts, {"i": start, "s": start, "b": start}, "array<int>", step)
+    return gathered(parts, {k: start for k in ("i", "s", "l3", "p3", "l4", "p4", "l6", "p6")}, "array<struct<start:int,rank:int,end:int,f:int>>", step)
 
 
-def linked(parts: Column, before: Column, after: Column) -> Column:
-    """The strong spans, and the weak ones whose complementary parts are in scope: from the flags of both sweeps."""
-    both = F.zip_with(before, after, lambda a, b: a.bitwiseOR(b))
-    marked = F.zip_with(parts, both, lambda x, f: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), f.alias("f")))
+def linked(before: Column, after: Column) -> Column:
+    """The strong spans, and the weak ones whose complementary parts are in scope: from both sweeps, in one order."""
+    marked = F.zip_with(before, after, lambda a, b: F.struct(a["start"].alias("start"), a["rank"].alias("rank"), a["end"].alias("end"), a["f"].bitwiseOR(b["f"]).alias("f")))
 
     def stays(x: Column) -> Column:
-        f = x["f"]
-        apart = f.bitwiseAND(F.lit(4)) == 0
-        has_id, has_secret = f.bitwiseAND(F.lit(1)) != 0, f.bitwiseAND(F.lit(2)) != 0
-        return (x["rank"] < 3) | apart & F.when(x["rank"] == 3, has_secret).when(x["rank"] == 4, has_id).otherwise(has_id & has_secret)
+        has_id, has_secret = x["f"].bitwiseAND(F.lit(1)) != 0, x["f"].bitwiseAND(F.lit(2)) != 0
+        return (x["rank"] < 3) | F.when(x["rank"] == 3, has_secret).when(x["rank"] == 5, has_id & has_secret).otherwise(has_id)
 
     kept = F.filter(marked, stays)
     return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
@@ -141,21 +181,25 @@ def joined(spans: Column) -> Column:
 def scan_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with _text (null: empty), _assign, _access, _hex (strong spans), _base and _spans (all), in order."""
     t = F.col("_text")
-    strong = [(ASSIGN, 0, 2, ASSIGN_LEAST), (ACCESS, 1, 0, 0), (HEX, 2, 0, 0)]
-    weak = [(WEAK_ID, 3, 0, 0), (WEAK_SECRET, 4, 0, 0), (ENDPOINT, 5, 0, 0)]
+    strong = [(ASSIGN, 0, 2, ASSIGN_LEAST, _FAR), (ACCESS, 1, 0, 0, _FAR), (HEX, 2, 0, 0, _FAR)]
+    weak = [(WEAK_ID, 3, 0, 0, _FAR), (WEAK_SECRET, 4, 0, 0, _FAR), (ENDPOINT, 5, 0, 0, _FAR), (RUN, 6, 0, RUN_LENGTH, RUN_LENGTH)]
     every = [*strong, *weak]
-    names = [f"_{k}" for k in BASE] + [f"_weak{r}" for _, r, _, _ in weak]
+    names = [f"_{k}" for k in BASE] + [f"_weak{r}" for _, r, *_ in weak]
+    own = ["_parts", "_backwards", "_before", "_after"]
     parts, backwards = F.col("_parts"), F.col("_backwards")
     # A weak part needs another part; without any, the sweep has nothing to add.
     some = F.size("_parts") > F.greatest(F.size("_base"), F.lit(1))
     out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumns({f"_m{r}": match_steps(t, p, g) for p, r, g, _ in every})
-    out = out.withColumns({c: spans(F.col(f"_m{r}"), r, least) for c, (_, r, _, least) in zip(names, every, strict=True)})
+    out = out.withColumns({f"_m{r}": match_steps(t, p, g) for p, r, g, *_ in every})
+    out = out.withColumns({c: spans(F.col(f"_m{r}"), r, least, most) for c, (_, r, _, least, most) in zip(names, every, strict=True)})
     out = out.withColumn("_base", F.array_sort(F.concat(*names[:3]))).withColumn("_parts", F.array_sort(F.concat("_base", *names[3:])))
     out = out.withColumn("_parts", F.when(some, parts).otherwise(_none())).withColumn("_backwards", F.reverse("_parts"))
-    out = out.withColumns({"_before": _sweep(parts, True), "_after": _sweep(backwards, False)})
-    out = out.withColumn("_spans", F.when(F.size("_parts") > 0, linked(parts, F.col("_before"), F.reverse("_after"))).otherwise(F.col("_base")))
-    return out.drop("_parts", "_backwards", "_before", "_after", *names[3:], *(f"_m{r}" for _, r, _, _ in every))
+    out = out.withColumn("_parts", F.when(F.size(parts) > 0, _apart(parts, backwards)).otherwise(_none()))
+    by_end = F.reverse(F.array_sort(F.transform(parts, lambda x: F.struct(x["end"].alias("end"), x["rank"].alias("rank"), x["start"].alias("start")))))
+    out = out.withColumn("_backwards", F.transform(by_end, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"))))
+    out = out.withColumns({"_before": _near(parts, True), "_after": _near(backwards, False)})
+    out = out.withColumn("_spans", F.when(F.size("_parts") > 0, linked(F.col("_before"), F.array_sort("_after"))).otherwise(F.col("_base")))
+    return out.drop(*own, *names[3:], *(f"_m{r}" for _, r, *_ in every))
 
 
 def digests(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
