@@ -18,8 +18,8 @@ come from buckets of a hash, whose sizes are summed first, so that a source that
 many tasks.
 
 Results for unusual rows: a null source is a source of its own; a source without a target weight, or with one
-that is not positive, gets the smallest weight of the others; ids that are null or repeat are ranked by a hash of
-id and source and then arbitrarily, rows of one such hash by one task; texts of any length are carried along
+that is not positive, gets the smallest weight of the others; ids that are null or repeat are ranked
+arbitrarily among themselves, those of one id by one task; texts of any length are carried along
 unread; an empty table gives an empty result. Columns of the input that are named like a result (``RESULT``) are
 replaced by it in ``scheduled``; ``interleaved`` keeps columns of any names as they are.
 """
@@ -170,9 +170,10 @@ def _source_name(source: str) -> F.Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
 
-def _order(docs: DataFrame, source: str) -> F.Column:
-    """Place of a row within its source: a hash, not negative."""
-    return F.shiftrightunsigned(F.xxhash64(*(F.col(c) for c in ("doc_id", source) if c in docs.columns)), 1)
+def _order(docs: DataFrame) -> F.Column:
+    """Place of a row within its source: 60 bits of a hash of its id."""
+    text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")) if "doc_id" in docs.columns else F.lit("")
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _bucketed(rows: DataFrame, p: Plan) -> DataFrame:
@@ -181,8 +182,8 @@ def _bucketed(rows: DataFrame, p: Plan) -> DataFrame:
     known = rows.sparkSession.createDataFrame([(s, -(-n // per_bucket)) for s, n in p.counts.items()], "_source string, _buckets long")
     if len(p.counts) * row_bytes(known) <= BROADCAST_BYTES:
         known = F.broadcast(known)
-    # The upper 31 of 63 bits, scaled to the number of buckets.
-    return rows.join(known, "_source").withColumn("_bucket", F.shiftright(F.shiftright("_order", 32) * F.col("_buckets"), 31)).drop("_buckets")
+    # The upper 31 of 60 bits, scaled to the number of buckets.
+    return rows.join(known, "_source").withColumn("_bucket", F.shiftright(F.shiftright("_order", 29) * F.col("_buckets"), 31)).drop("_buckets")
 
 
 def _placed(rows: DataFrame, p: Plan, scratch: Scratch) -> DataFrame:
@@ -205,7 +206,7 @@ def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, sourc
     """
     p = plan(docs, weights, source, block)
     row = F.struct(*(c for c in docs.columns if c not in RESULT)).alias("_row")
-    rows = _bucketed(docs.select(row, _source_name(source).alias("_source"), _order(docs, source).alias("_order")), p)
+    rows = _bucketed(docs.select(row, _source_name(source).alias("_source"), _order(docs).alias("_order")), p)
     out = _placed(rows, p, Scratch(docs.sparkSession))  # the result still reads what it stores
     return out.withColumn("_place", F.col("_slot") * block + F.col("_rank") % block).select("_row.*", *RESULT)
 
@@ -222,7 +223,7 @@ def interleaved(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     if not p.total:
         return docs
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), p.blocks))
-    key = [_source_name(source).alias("_source"), _order(docs, source).alias("_order")]
+    key = [_source_name(source).alias("_source"), _order(docs).alias("_order")]
     with Scratch(spark) as scratch:
         slim = _placed(_bucketed(docs.select(*key), p), p, scratch)
         part = F.floor(F.col("_slot") * parts / F.lit(p.blocks)).cast("int")

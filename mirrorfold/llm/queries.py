@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ball_tree, decision_list, license_scan, pfair, quality_ranker, secrets, sentencepiece_bpe, simhash, suffix_dedup, warc
 from .common import Scratch, materialized, table
+from .sql import oracle_sql as oracle_sql
 
 
 def piece_model_path() -> str:
@@ -89,37 +90,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_license_scan": op10_license_scan,
     }
 
-
-OP1_SQL = """
-WITH p AS (
-  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
-), d AS (
-  SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM p
-), g AS (
-  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least_id FROM d
-)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND page_id <> least_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> least_id THEN least_id END AS refers_to
-FROM g
-"""
-
-OP2_SQL = """
-WITH v AS (
-  SELECT vec_id, [CAST(floor(1024 * CAST(y AS DOUBLE)) AS DOUBLE) FOR y IN embedding] AS x
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
-  FROM (SELECT DISTINCT ON (vec_id) * FROM v WHERE vec_id % 100 = 0) q
-  JOIN v c ON c.vec_id <> q.vec_id AND len(c.x) = len(q.x)
-), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
-"""
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_top_k": OP2_SQL}
