@@ -102,29 +102,35 @@ def test_pairs_inside_a_family_just_below_the_threshold(spark):
     assert sorted(r.doc_id for r in simhash_groups.one_of_each(docs).collect()) == sorted(set(want))
 
 
-def test_open_pairs_leave_none_out():
+def test_no_open_pair_is_left_out():
     rng = np.random.default_rng(3)
-    n = simhash_groups.STEP * 3 + 300
+    n = simhash_groups.STEP + 100
     fa, fb = (rng.integers(0, 4, n, dtype=np.int64) for _ in range(2))
+    sets = [np.unique(rng.integers(0, 12, 9).astype(np.uint64)) for _ in range(n)]
     for parts in (1, 2):
-        root, part = rng.integers(0, 40, n) // 25, rng.integers(0, parts, n)
-        want = {(i, j) for i in range(n) for j in range(i + 1, n) if root[i] != root[j] and (parts == 1 or part[i] != part[j]) and int(fa[i] ^ fa[j]).bit_count() + int(fb[i] ^ fb[j]).bit_count() <= 1}
-
-        def found(most):
-            return [(min(i, j), max(i, j)) for a, b in simhash_groups.open_pairs(fa, fb, root, part, 1, most) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-
-        assert sorted(found(None)) == sorted(want)
-        some = found(4)
-        assert set(some) < want and len(some) <= 4 * n
+        root, part = np.maximum(rng.integers(-600, 40, n), 0), rng.integers(0, parts, n)
+        open_ = {(i, j) for i in range(n) for j in range(i + 1, n) if root[i] != root[j] and (parts == 1 or part[i] != part[j]) and int(fa[i] ^ fa[j]).bit_count() + int(fb[i] ^ fb[j]).bit_count() <= 1}
+        assert set(np.flatnonzero(simhash_groups.open_members(fa, fb, root, part, 1)).tolist()) == {x for p in open_ for x in p}
+        want = list(root)
+        for i, j in open_:
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.6 * (len(sets[i]) + len(sets[j]) - both):
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+        i, j = simhash_groups.joining_edges(sets, fa, fb, root, part, 1, 0.6)
+        got = list(root)
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            assert (min(x, y), max(x, y)) in open_
+            got = [min(got[x], got[y]) if z in (got[x], got[y]) else z for z in got]
+        assert got == want and 0 < len(i) < len(set(root.tolist()))
 
 
 @pytest.mark.parametrize("hot", [3, 40])
 def test_hot_keys_are_dealt_by_parts(spark, monkeypatch, hot):
     texts = corpus()
-    first, later = simhash_groups.first_edges, simhash_groups.open_edges
+    first, keys, edges, check = simhash_groups.first_edges, simhash_groups.open_keys, simhash_groups.open_edges, simhash_groups.similar_edges
     monkeypatch.setattr(simhash_groups, "first_edges", lambda shared: first(shared, hot=hot))
-    monkeypatch.setattr(simhash_groups, "open_edges", lambda *a, **k: later(*a, **k, hot=hot))
-    check = simhash_groups.similar_edges
+    monkeypatch.setattr(simhash_groups, "open_keys", lambda *a: keys(*a, hot=hot))
+    monkeypatch.setattr(simhash_groups, "open_edges", lambda *a: edges(*a, most_bytes=20_000))
     monkeypatch.setattr(simhash_groups, "similar_edges", lambda *a: check(*a, most_bytes=20_000))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash_groups.one_of_each(docs).collect()) == sorted(set(plain_groups(texts)))
