@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 10 << 20
 #: Labelled documents that are sent to look up their texts.
 BROADCAST_ROWS = 20_000
+#: Keys that are dealt over several tasks, at most.
+MOST_HOT = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +74,7 @@ def materialized(df: DataFrame, purpose: str, scratch: Scratch | None = None) ->
 def row_bytes(df: DataFrame) -> int:
     """Upper estimate of a row's size in a hash relation, for columns of fixed size and for digests."""
     widths = {"boolean": 8, "int": 8, "bigint": 8, "double": 8, "string": 80, "binary": 48}
-    return 32 + sum(widths.get(t, 160) for _, t in df.dtypes)
+    return 72 + sum(widths.get(t, 160) for _, t in df.dtypes)
 
 
 def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -90,6 +92,21 @@ def shuffled_join(left: DataFrame, right: DataFrame, on: list[str], how: str) ->
     return left.join(right.hint("merge"), on, how)
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, count: str, spread: str, salts: int = 64) -> DataFrame:
+    """Join with a stored ``right``, one row per key, that has in ``count`` the number of the key's rows in ``left``.
+
+    Keys with more than a ``MOST_HOT``-th part of all those rows are hot; so there are at most ``MOST_HOT`` of them,
+    and their list is broadcast. Their rows are dealt over ``salts`` tasks by a hash of ``spread``. ``count`` is
+    among the columns of an inner join.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(1000, total // MOST_HOT)
+    keys = right.where(hot).select(*on, F.lit(True).alias("_hot"))
+    dealt = left.join(F.broadcast(keys), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    every = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return shuffled_join(dealt, every, [*on, "_salt"], how).drop("_salt")
+
+
 def text_bytes(column: str | Column) -> Column:
     """UTF-8 bytes of a text; a null is an empty text."""
     column = F.col(column) if isinstance(column, str) else column

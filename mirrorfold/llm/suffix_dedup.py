@@ -16,10 +16,13 @@
    group is counted there and goes on once. A common line thus falls apart into its neighbourhoods in eight
    steps at most, for in a group of one window all are equal.
 
-Every decision is on the input, whole texts, at any size; nothing is dropped or capped.
+Every decision is on the input, whole texts, at any size; nothing is dropped or capped. Runs of equal contexts in a
+periodic text make one row, and spans are merged before those of a text come together.
 
 Results for unusual rows: a null text counts as empty; texts shorter than LENGTH lose nothing; rows that repeat
-are each elsewhere for the other, also with equal or null ids; an empty table gives an empty result.
+are each elsewhere for the other, also with equal or null ids; a very long text is held whole by one task and read
+in portions; an empty table gives an empty result; of the input's columns only ``keep``, the id and the text are
+read, so others may have any names, and ``keep`` travels in a struct.
 """
 
 from __future__ import annotations
@@ -34,15 +37,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.arrow import map_arrow
-from .common import Scratch, materialized, shuffled_join, sized_join
+from .common import Scratch, materialized, salted_join, sized_join
 
 LENGTH, GRAM = 200, 64
 #: Distinct contexts of an anchor that go to one task at most.
 HOT = 256
-#: Bytes in one suffix array, and bytes of a text that are hashed at once.
-SHARD, CHUNK = 1 << 20, 1 << 20
+#: Bytes in one suffix array, bytes of a text that are hashed at once, and contexts that are cut out at once.
+SHARD, CHUNK, STEP = 1 << 20, 1 << 20, 20_000
 NO_ID = -(1 << 63)
 
 _MIX = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,26 +76,55 @@ def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
-def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, place of the anchor after the first window's start, and hash, per anchor."""
+def anchors(raw, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, ...]]:
+    """First window, number of windows, place of the anchor after the first window's start, hash, and repetitions, per anchor, in portions.
+
+    Where a text is periodic, consecutive anchors with equal hashes and equal contexts make one row: it stands for
+    ``repetitions`` of them, each as many windows after the one before as each of them has. So a long run of one
+    byte is a few rows. A portion holds what ``chunk`` windows name; the last anchor goes on into the next.
+    """
     width = length - gram + 1
-    n = len(raw) - length + 1  # windows
-    if n < 1:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int64),)
+    data = np.frombuffer(raw, np.uint8)
+    n = len(data) - length + 1  # windows
     low = np.uint64(0xFFFFFFFF)
-    places, hashes = [], []
+    held: tuple[int, int, int] | None = None  # first window, place and hash of the anchor that may go on
     for at in range(0, n, chunk):
-        part = np.frombuffer(raw, np.uint8, min(n, at + chunk) - at + length - 1, at)
+        end = min(n, at + chunk)
+        part = data[at : end + length - 1]
         h = gram_hashes(part, gram)
         # High bits decide; of equal ones the rightmost place.
         keys = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
         pos = (low - (_sliding(keys, width) & low)).astype(np.int64)
-        places.append(pos + at)
-        hashes.append(h[pos])
-    pos, h = np.concatenate(places), np.concatenate(hashes)
-    cut = np.flatnonzero(pos[1:] != pos[:-1]) + 1
-    lo = np.r_[0, cut]
-    return lo, np.diff(np.r_[lo, n]), pos[lo] - lo, h[lo].view(np.int64)
+        lo = np.r_[0, np.flatnonzero(pos[1:] != pos[:-1]) + 1]
+        place, key = pos[lo] + at, h[pos[lo]].view(np.int64)
+        lo = lo + at
+        if held is not None:
+            if place[0] == held[1]:
+                lo[0] = held[0]
+            else:
+                lo, place, key = np.r_[held[0], lo], np.r_[held[1], place], np.r_[held[2], key]
+        if end < n:
+            held = int(lo[-1]), int(place[-1]), int(key[-1])
+            wins = np.diff(lo)
+            lo, place, key = lo[:-1], place[:-1], key[:-1]
+        else:
+            wins = np.diff(np.r_[lo, n])
+        if len(lo):
+            yield _run_lengths(data, lo, wins, place - lo, key, length)
+
+
+def _run_lengths(data: np.ndarray, lo: np.ndarray, wins: np.ndarray, off: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The rows with runs of equal ones, as ``anchors`` describes, put into one each."""
+    same = np.r_[False, (key[1:] == key[:-1]) & (wins[1:] == wins[:-1]) & (off[1:] == off[:-1])]
+    for w in np.unique(wins[same]).tolist():
+        # A context equals the one before if the text has period w from the start of that to its own end.
+        rows = np.flatnonzero(same & (wins == w))
+        first, last = int(lo[rows[0]]) - w, int(lo[rows[-1]]) + w - 1 + length
+        odd = np.r_[0, np.cumsum(data[first + w : last] != data[first : last - w])]
+        at = lo[rows] - w - first
+        same[rows] = odd[at + w - 1 + length] == odd[at]
+    head = np.flatnonzero(~same)
+    return lo[head], wins[head], off[head], key[head], np.diff(np.r_[head, len(lo)])
 
 
 def suffix_array(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,32 +279,35 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*_key(), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def _bytes(text: pa.StringScalar) -> memoryview:
+    """UTF-8 bytes of a text, not copied."""
+    return memoryview(text.as_buffer())
+
+
 def _found_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(kd, kt, lo, wins, off, a, c) per anchor; c is the hash of its context."""
+    """(kd, kt, lo, wins, off, a, reps, c) per anchor; c is the hash of its context."""
+    names = ["kd", "kt", "lo", "wins", "off", "a", "reps", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             kd, kt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kd", "kt"))
-            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+            parts: list[list[np.ndarray]] = [[] for _ in names]
             held = 0
             for row, text in enumerate(batch.column("text")):
-                raw = text.as_py().encode("utf-8", "replace")
-                lo, wins, off, a = anchors(raw, length, gram)
-                if not len(lo):
-                    continue
-                view = memoryview(raw)
-                c = np.array([digest(view[s:e]) for s, e in zip(lo.tolist(), (lo + wins - 1 + length).tolist(), strict=True)], np.uint64).view(np.int64)
-                for p, x in zip(parts, (np.full(len(lo), kd[row]), np.full(len(lo), kt[row]), lo, wins, off, a, c), strict=True):
-                    p.append(x)
-                held += len(lo)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["kd", "kt", "lo", "wins", "off", "a", "c"])
-                    parts, held = [[] for _ in range(7)], 0
+                raw = _bytes(text)
+                for lo, wins, off, a, reps in anchors(raw, length, gram):
+                    c = np.fromiter((digest(raw[s:e]) for s, e in zip(lo.tolist(), (lo + wins - 1 + length).tolist(), strict=True)), np.uint64, len(lo)).view(np.int64)
+                    for p, x in zip(parts, (np.full(len(lo), kd[row]), np.full(len(lo), kt[row]), lo, wins, off, a, reps, c), strict=True):
+                        p.append(x)
+                    held += len(lo)
+                    if held > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=names)
+                        parts, held = [[] for _ in names], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["kd", "kt", "lo", "wins", "off", "a", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=names)
 
-    return map_arrow(keyed, run, "kd long, kt long, lo long, wins long, off long, a long, c long")
+    return map_arrow(keyed, run, ", ".join(f"{c} long" for c in names))
 
 
 def _contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -279,21 +315,18 @@ def _contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     per_text = wanted.groupBy("kd", "kt").agg(F.collect_list(F.struct("a", "many", "n", "lo", "wins", "off")).alias("want"))
     rows = keyed.join(per_text, ["kd", "kt"])
     names = ["a", "many", "n", "kd", "kt", "lo", "wins", "off", "ctx"]
-    kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 6, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
             for kd, kt, text, want in zip(*(batch.column(c) for c in ("kd", "kt", "text", "want")), strict=True):
-                raw = text.as_py().encode("utf-8", "replace")
-                kd, kt = kd.as_py(), kt.as_py()
-                for w in want.as_py():
-                    out.append((w["a"], w["many"], w["n"], kd, kt, w["lo"], w["wins"], w["off"], raw[w["lo"] : w["lo"] + w["wins"] - 1 + length]))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                raw = _bytes(text)
+                for at in range(0, len(want.values), STEP):
+                    some = want.values.slice(at, STEP)
+                    fields = {c: some.field(c) for c in ("a", "many", "n", "lo", "wins", "off")}
+                    lo, wins = (fields[c].to_numpy(zero_copy_only=False) for c in ("lo", "wins"))
+                    ctx = pa.array([bytes(raw[s:e]) for s, e in zip(lo.tolist(), (lo + wins - 1 + length).tolist(), strict=True)], pa.binary())
+                    fields |= {"kd": pa.repeat(kd, len(lo)), "kt": pa.repeat(kt, len(lo)), "ctx": ctx}
+                    yield pa.RecordBatch.from_arrays([fields[c] for c in names], names=names)
 
     return map_arrow(rows, run, "a long, many boolean, n long, kd long, kt long, lo long, wins long, off long, ctx binary")
 
@@ -354,17 +387,17 @@ def _by_suffix_arrays(groups: DataFrame, length: int, shard: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
-    """(kd, kt, spans): for each text with repeated windows, the bytes that they cover, unmerged."""
+    """(kd, kt, spans): for each text with repeated windows, the maximal runs of bytes that they cover, in order."""
     keyed = _keyed(docs)
     with Scratch(docs.sparkSession) as scratch:
         with Scratch(docs.sparkSession) as early:
             found = materialized(_found_anchors(keyed, length, gram), "anchors", early)
-            twice = materialized(found.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "repeated-grams", early)
-            shared = materialized(shuffled_join(found, twice, ["a"], "left_semi"), "shared-anchors", scratch)
+            twice = materialized(found.groupBy("a").agg(F.sum("reps").alias("k")).where("k > 1"), "repeated-grams", early)
+            shared = materialized(salted_join(found, twice, ["a"], "left_semi", "k", "lo"), "shared-anchors", scratch)
         place = F.min(F.struct("kd", "kt", "lo", "wins", "off")).alias("p")
-        contexts = materialized(shared.groupBy("a", "c").agg(F.count("*").alias("n"), place), "contexts", scratch)
+        contexts = materialized(shared.groupBy("a", "c").agg(F.sum("reps").alias("n"), place), "contexts", scratch)
         several = materialized(contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "several-contexts", scratch)
-        compared = shuffled_join(contexts, several, ["a"], "inner").select("a", (F.col("m") > hot).alias("many"), "n", "p.*")
+        compared = salted_join(contexts, several, ["a"], "inner", "m", "c").select("a", (F.col("m") > hot).alias("many"), "n", "p.*")
         bytes_ = materialized(_contexts(keyed, compared, length), "context-bytes", scratch)
         small, whole = [bytes_.where("NOT many").select(F.col("a").cast("string").alias("g"), "ctx", "wins", "n", "kd", "kt", "lo")], []
         many = bytes_.where("many")
@@ -374,24 +407,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         groups = small[0]
         for x in small[1:]:
             groups = groups.unionByName(x)
-        equal = shared.join(contexts.where("n > 1").select("a", "c"), ["a", "c"], "left_semi")
-        out = equal.select("kd", "kt", F.col("lo").alias("s"), (F.col("lo") + F.col("wins") - 1 + length).alias("e"))
+        again = materialized(contexts.where("n > 1").select("a", "c", "n"), "equal-contexts", scratch)
+        equal = salted_join(shared, again, ["a", "c"], "left_semi", "n", "lo")
+        out = equal.select("kd", "kt", F.col("lo").alias("s"), (F.col("lo") + F.col("reps") * F.col("wins") - 1 + length).alias("e"))
         for x in [_by_suffix_arrays(groups, length, shard), *whole]:
             out = out.unionByName(x)
-        return materialized(out.groupBy("kd", "kt").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+        return materialized(merged(out).groupBy("kd", "kt").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """(kd, kt, s, e): the maximal runs that the spans (kd, kt, s, e) of a text cover; spans that touch make one."""
+    by_start = Window.partitionBy("kd", "kt").orderBy("s")
+    before = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    opens = spans.withColumn("opens", F.when(F.col("s") <= before, 0).otherwise(1))
+    runs = opens.withColumn("run", F.sum("opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("kd", "kt", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
 
 
-def kept_parts(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """Remaining bytes, bytes removed and maximal runs removed."""
-    kept, at, runs = [], 0, 0
-    for s, e in sorted(spans):
-        if s > at or not runs:
-            kept.append(raw[at:s])
-            runs += 1
-        at = max(at, e)
-    kept.append(raw[at:])
-    out = b"".join(kept)
-    return out, len(raw) - len(out), runs
+def kept_parts(raw, starts: list[int], ends: list[int]) -> bytes:
+    """The bytes outside the disjoint spans, which come in order."""
+    return b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)], strict=True))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, **options) -> DataFrame:
@@ -410,11 +445,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
         for batch in batches:
             n, removed, runs, digests, kept = [], [], [], [], []
             for text, found in zip(batch.column("_t"), batch.column("spans"), strict=True):
-                raw = text.as_py().encode("utf-8", "replace")
-                out, gone, k = kept_parts(raw, [(x["s"], x["e"]) for x in found.as_py() or ()])
+                raw = _bytes(text)
+                starts, ends = (found.values.field(c).to_pylist() if found.is_valid else [] for c in ("s", "e"))
+                out = kept_parts(raw, starts, ends)
                 n.append(len(raw))
-                removed.append(gone)
-                runs.append(k)
+                removed.append(len(raw) - len(out))
+                runs.append(len(starts))
                 digests.append(hashlib.sha256(out).hexdigest())
                 if with_text:
                     kept.append(out)

@@ -25,21 +25,36 @@ def test_suffix_arrays(seed):
         assert common[r] == len(os.path.commonprefix([listed[r - 1][0], listed[r][0]]))
 
 
+def every_anchor(raw, **options):
+    """(first window, windows, place, hash), runs written out."""
+    return [(l + k * n, n, o, h) for p in sd.anchors(raw, **options) for l, n, o, h, r in zip(*(x.tolist() for x in p), strict=True) for k in range(r)]
+
+
 def test_anchors_depend_on_windows_alone():
     rng = np.random.default_rng(1)
     same = rng.integers(0, 256, 900, dtype=np.uint8).tobytes()
     seen = []
     for before in (0, 13, 500):
         raw = rng.integers(0, 256, before, dtype=np.uint8).tobytes() + same + b"tail" * 50
-        lo, wins, off, a = sd.anchors(raw)
-        assert lo[0] == 0 and (lo[1:] == (lo + wins)[:-1]).all() and lo[-1] + wins[-1] == len(raw) - 199
-        of = {s: (int(h), int(l + o) - before) for l, n, o, h in zip(lo, wins, off, a, strict=True) for s in range(l - before, l - before + n)}
+        found = every_anchor(raw)
+        assert found[0][0] == 0 and all(x[0] + x[1] == y[0] for x, y in zip(found, found[1:], strict=False)) and sum(found[-1][:2]) == len(raw) - 199
+        of = {s: (h, l + o - before) for l, n, o, h in found for s in range(l - before, l - before + n)}
         seen.append([of[s] for s in range(len(same) - 199)])
-        cut = sd.anchors(raw, chunk=64)
-        at = [[int(l + o) for l, n, o in zip(x[0], x[1], x[2], strict=True) for _ in range(n)] for x in ((lo, wins, off), cut)]
-        assert at[0] == at[1]
+        for chunk in (64, 137, 1000):
+            assert every_anchor(raw, chunk=chunk) == found
     assert seen[0] == seen[1] == seen[2]
-    assert all(len(x) == 0 for x in sd.anchors(b"x" * 199))
+    assert list(sd.anchors(b"x" * 199)) == list(sd.anchors(b"")) == []
+
+
+def test_periodic_texts_have_few_rows():
+    rng = np.random.default_rng(2)
+    for period in (1, 2, 7, 64, 130):
+        raw = b"head " * 3 + rng.integers(0, 256, period, dtype=np.uint8).tobytes() * (300_000 // period) + b"tail" + b"q" * 5000
+        rows = [x for p in sd.anchors(raw, chunk=1 << 16) for x in zip(*(c.tolist() for c in p), strict=True)]
+        assert len(rows) < 600
+        for l, n, o, h, r in rows:  # what a row says of its repetitions
+            assert r == 1 or raw[l : l + (r - 1) * n + n - 1 + 200] == (raw[l : l + n] * (r + 199 // n + 1))[: r * n + 199]
+        assert every_anchor(raw) == every_anchor(raw, chunk=1 << 14)
 
 
 def plain(texts, length=200):
@@ -94,3 +109,13 @@ def test_nothing_there(spark):
     one = spark.createDataFrame([(1, "abc " * 10)], "doc_id long, text string")
     r = sd.without_repeats(one, with_text=True).first()
     assert (r.n_removed, r.n_spans, bytes(r.kept)) == (0, 0, b"abc " * 10)
+
+
+def test_long_texts_of_one_byte(spark):
+    n = 8_000_000
+    long = "a" * n
+    rows = [long, long[: n // 2], "b" + "ab" * 1_000_000, "xyz" * 70, "c" * 201, "d" * 200]
+    got = {r.doc_id: r for r in sd.without_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)).collect()}
+    for i, t in enumerate(rows):
+        gone = 0 if i == 5 else len(t)
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (len(t), gone, int(gone > 0))
