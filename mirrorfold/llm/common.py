@@ -37,18 +37,32 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="mirrorfold-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _live.append(path)
+    return path
+
+
+#: Folders given out and not yet deleted.
+_live: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that operators have stored and left, as results still read from them. Those results end with it."""
+    while _live:
+        removed(spark, _live.pop())
 
 
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder wherever Spark can write."""
+    if path in _live:
+        _live.remove(path)
     sc = spark.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 class Scratch:
-    """Tables that only serve until the ``with`` block ends; what is read after it must be stored by other means."""
+    """Tables that only serve until the ``with`` block ends; what is read after it must be stored without one, until ``clean``."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []

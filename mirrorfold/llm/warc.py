@@ -13,8 +13,9 @@ and the others revisit it.
 
 Results for unusual rows: a null html has an empty payload; a null url becomes ``about:blank``; a null page_id
 never is the one that others revisit, so a row with it is a response only where no other row has its payload;
-rows that repeat page_id and payload are written each, with the same identifiers, and come back each; an empty
-table gives an empty result. A response whose request or metadata is lost comes back with nulls in their place.
+rows that repeat page_id and payload are written each, with the same identifiers, and come back each; a very long
+page is one record in a file of its own, held whole by one task; other columns of the input are not read, so they
+may have any names; an empty table gives an empty result. A response whose request or metadata is lost comes back with nulls in their place.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrow import map_arrow
-from .common import materialized, shared_dir, sized_join, text_bytes
+from .common import Scratch, materialized, shared_dir, sized_join, text_bytes
 
 LEAST = 100
-#: Captures in one archive file.
-PER_FILE = 4000
+#: Captures in one archive file at most, bytes of payload that a file is meant to hold, and bytes from which a page counts as large.
+PER_FILE, FILE_BYTES, LARGE = 4000, 64 << 20, 1 << 20
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -57,19 +58,45 @@ def _record(kind: Column, rid: Column, url: Column, content: str, body: Column,
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), body)
 
 
-def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, url, html, bytes, digest, first_id): first_id is the page that the row revisits, else null."""
+def slim(pages: DataFrame) -> DataFrame:
+    """(page_id, bytes, digest) per page."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).cast("long").alias("bytes"), F.sha2(text_bytes("html"), 256).alias("digest"))
+
+
+def with_revisits(pages: DataFrame, known: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
+    """(page_id, url, html, bytes, digest, first_id): first_id is the page that the row revisits, else null.
+
+    Copies are found among ``known``, the ``slim`` rows. A page is joined to them where it is read, and shuffled only
+    where there are more copies than can be broadcast.
+    """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2(text_bytes("html"), 256))
-    # Copies are counted on digests alone; a group of any size is one row before it is shuffled far.
-    groups = p.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("least_id"), F.count("*").alias("n")).where("n > 1 AND least_id IS NOT NULL").select("digest", "least_id")
-    marked = sized_join(p, materialized(groups, "copies"), ["digest"])
+    groups = known.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("least_id"), F.count("*").alias("n")).where("n > 1 AND least_id IS NOT NULL").select("digest", "least_id")
+    marked = sized_join(p, materialized(groups, "copies", scratch), ["digest"])
     return marked.select("page_id", "url", "html", "bytes", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("least_id")), F.col("least_id")).alias("first_id"))
 
 
 def write_archives(pages: DataFrame, path: str | None = None, least: int = LEAST) -> str:
-    """Write the captures of ``pages`` (page_id, url, html) below ``path`` and return it."""
+    """Write the captures of ``pages`` (page_id, url, html) below ``path`` and return it.
+
+    An archive is read back as one cell, so files are kept near ``FILE_BYTES``: as many captures as that holds at
+    the mean size, and large pages, if there are any, in files of their own by their largest size.
+    """
     path = path or shared_dir(pages.sparkSession, "warc")
-    c = with_revisits(pages, least)
+    with Scratch(pages.sparkSession) as scratch:
+        known = materialized(slim(pages), "digests", scratch)
+        lines = _lines(with_revisits(pages, known, scratch, least))
+        large = F.col("bytes") >= LARGE
+        size = known.agg(F.avg(F.when(~large, F.col("bytes"))).alias("mean"), F.max(F.when(large, F.col("bytes"))).alias("most")).first()
+        for which, where, each in (("small", ~large, size["mean"]), ("large", large, size["most"])):
+            if each is not None or which == "small":
+                per_file = max(1, min(PER_FILE, int(FILE_BYTES // max(each or 1, 1))))
+                lines.where(where).select("value").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(f"{path}/{which}")
+    return path
+
+
+def _lines(c: DataFrame) -> DataFrame:
+    """(value, bytes): the three records of each capture."""
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("about:blank")), r"[\s\x00]+", "%20")
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     rid = _urn("response", F.col("page_id"), F.col("digest"))
@@ -84,9 +111,7 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = LEAST
     )
     fields = F.concat_ws("", F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("fetcher: mirrorfold\r\n"))
     metadata = _record(F.lit("metadata"), _urn("metadata", F.col("page_id"), F.col("digest")), url, "application/warc-fields", fields, ("WARC-Concurrent-To", rid))
-    lines = c.select(F.concat(request, F.lit(END), response, F.lit(END), metadata).alias("value"))
-    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
-    return path
+    return c.select(F.concat(request, F.lit(END), response, F.lit(END), metadata).alias("value"), "bytes")
 
 
 class _Stream:

@@ -50,7 +50,7 @@ def test_files_are_plain_archives(spark, tmp_path):
     path, _ = run(spark, ROWS[:5])
     from pathlib import Path
 
-    raw = b"".join(gzip.decompress(f.read_bytes()) for f in Path(path).glob("*.gz"))
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in Path(path).rglob("*.gz"))
     found = list(warc.records(raw))
     assert Counter(h["warc-type"] for h, _ in found) == {"request": 5, "metadata": 5, "response": 3, "revisit": 2}
     by_id = {h["warc-record-id"] for h, _ in found}
@@ -67,3 +67,15 @@ def test_lost_records_leave_nulls(spark, tmp_path):
     found = warc.read_records(spark, path, with_payload=False)
     assert all(r.request is None and r.metadata is not None for r in warc.assembled(found.where("kind <> 'request'")).collect())
     assert all(r.metadata is None for r in warc.assembled(found.where("kind <> 'metadata'")).collect())
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    from pathlib import Path
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "LARGE", 9_000)
+    rows = [(i, "http://a/", f"{i} " * (200 if i % 10 else 6000)) for i in range(100, 200)]
+    path, captures = run(spark, rows)
+    assert captures.count() == 100
+    files = [f.read_bytes() for f in Path(path).rglob("*.gz")]
+    assert len(files) >= 14 and max(len(gzip.decompress(f)) for f in files) < 60_000
