@@ -39,6 +39,19 @@ def test_top_k_is_exact(spark, shard):
     assert ball_tree.top_k(ball_tree.integer_vectors(df.where("false")), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_shards_below_the_kth_score_are_skipped(spark):
+    rng = np.random.default_rng(4)
+    axes = np.eye(16) * 4
+    rows = [(i, (axes[i % 16] + rng.normal(size=16) * 0.05).astype(np.float32).tolist()) for i in range(3200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    stats = {}
+    got = defaultdict(list)
+    for r in ball_tree.top_k(ball_tree.integer_vectors(df), F.col("vec_id") % 10 == 0, 10, 100, stats).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in got.items()} == whole(rows)
+    assert stats["queries"] == 320 and len(stats["visits"]) == 3 and sum(stats["visits"]) < 0.4 * stats["queries"] * stats["shards"]
+
+
 def test_scores_beyond_double_precision():
     big = np.array([[2**40, 3], [2**40, 4], [-(2**40), 5]], dtype=np.int64)
     tree = ball_tree.BallTree(np.array([1, 2, 3]), big)
