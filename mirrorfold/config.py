@@ -10,6 +10,7 @@ from typing import Any
 #: Names that a scan leaves out.
 IGNORE_GLOBS = ("*.tmp", "~*", "*.cache", "Thumbs.db", ".DS_Store")
 ALGORITHMS = ("md5", "sha1", "sha256", "sha512")
+#: What counts as true in the environment.
 TRUE = ("true", "1", "yes")
 
 
@@ -17,6 +18,8 @@ TRUE = ("true", "1", "yes")
 class EngineConfig:
     algorithm: str = "sha256"
     quick_hash_size: int = 1024
+    sampled_from: int = 100 << 20
+    sample_size: int = 1 << 20
     max_depth: int | None = None
     follow_symlinks: bool = False
     ignore_hidden: bool = False

@@ -11,26 +11,35 @@ from .duplicates import duplicate_hashes
 from .joins import spread_join
 
 
+def _with_parents(own: DataFrame, *sums: str) -> DataFrame:
+    """One row per folder of ``own`` (path and sums) and per folder above, whose own sums are 0: one grouping, no join."""
+    every = own.withColumn("_above", F.explode(ancestors(F.col("path"))))
+    return every.groupBy(F.col("_above").alias("path")).agg(*(F.coalesce(F.sum(F.when(F.col("_above") == F.col("path"), F.col(c))), F.lit(0)).alias(c) for c in sums))
+
+
 def folder_manifest(files: DataFrame) -> DataFrame:
     """Every folder of the files and every one above, with direct files only: (path, name, parent_path, num_files, total_size)."""
     own = files.groupBy(F.col("folder").alias("path")).agg(F.count("*").alias("num_files"), F.sum("size").alias("total_size"))
-    every = own.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
     p = F.col("path")
-    return every.join(own, "path", "left").select("path", base_name(p).alias("name"), parent(p).alias("parent_path"), F.coalesce("num_files", F.lit(0)).alias("num_files"), F.coalesce("total_size", F.lit(0)).alias("total_size"))
+    return _with_parents(own, "num_files", "total_size").select("path", base_name(p).alias("name"), parent(p).alias("parent_path"), "num_files", "total_size")
 
 
 def marked(files: DataFrame) -> DataFrame:
-    """``files`` with is_duplicate: whether another file has the same hash."""
+    """``files`` with is_duplicate: whether another file has the same hash. The files are read twice: they should be stored."""
     repeats = duplicate_hashes(files).select("hash", "n_files")
-    return spread_join(files, repeats, ["hash"], "left").withColumn("is_duplicate", F.col("n_files").isNotNull()).drop("n_files")
+    # Files without a hash, often most of them, have no part in the join.
+    has = spread_join(files.where(has_hash()), repeats, ["hash"], "left").withColumn("is_duplicate", F.col("n_files").isNotNull()).drop("n_files")
+    return has.unionByName(files.where(~has_hash()).withColumn("is_duplicate", F.lit(False)))
 
 
 def folder_stats(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """(path, file_count, total_size, duplicated_files, duplication_percentage) for every folder, empty ones too."""
     stats = marked(files).groupBy(F.col("folder").alias("path")).agg(F.count("*").alias("file_count"), F.sum("size").alias("total_size"), F.count(F.when(F.col("is_duplicate"), 1)).alias("duplicated_files"))
-    every = (folders if folders is not None else folder_manifest(files)).select("path")
-    zero = F.lit(0)
-    out = every.join(stats, "path", "left").select("path", *(F.coalesce(c, zero).alias(c) for c in ("file_count", "total_size", "duplicated_files")))
+    names = ("file_count", "total_size", "duplicated_files")
+    if folders is None:
+        out = _with_parents(stats, *names)
+    else:
+        out = folders.select("path").join(stats, "path", "left").select("path", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
     share = F.when(F.col("file_count") == 0, F.lit(0.0)).otherwise(F.col("duplicated_files") / F.col("file_count") * 100)
     return out.withColumn("duplication_percentage", share)
 

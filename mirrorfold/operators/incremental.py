@@ -7,6 +7,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..schemas import HASH_CACHE
+
 CACHE_KEY = ["path", "size", "last_modified", "algorithm", "kind"]
 
 
@@ -24,9 +27,9 @@ def with_new_hashes(files: DataFrame, hashes: DataFrame, key: str = "path") -> D
 
 def cache_lookup(files: DataFrame, cache: DataFrame, algorithm: str = "sha256", kind: str = "full") -> DataFrame:
     """``files`` with cached_hash: a hit needs the same path, size, time, algorithm and kind."""
-    known = cache.where((F.col("algorithm") == algorithm) & (F.col("kind") == kind)).select("path", F.col("size").alias("_s"), F.col("last_modified").alias("_m"), F.col("hash").alias("cached_hash"))
-    same = (files["path"] == known["path"]) & (files["size"] == known["_s"]) & files["last_modified"].eqNullSafe(known["_m"])
-    return files.join(known, same, "left").drop(known["path"]).drop("_s", "_m")
+    known = cache.where((F.col("algorithm") == algorithm) & (F.col("kind") == kind)).select(F.col("path").alias("_p"), F.col("size").alias("_s"), F.col("last_modified").alias("_m"), F.col("hash").alias("cached_hash"))
+    same = (F.col("path") == F.col("_p")) & (F.col("size") == F.col("_s")) & F.col("last_modified").eqNullSafe(F.col("_m"))
+    return files.join(known, same, "left").drop("_p", "_s", "_m")
 
 
 def cache_misses(files: DataFrame, cache: DataFrame, algorithm: str = "sha256", kind: str = "full") -> DataFrame:
@@ -59,17 +62,30 @@ def manifest_diff(before: DataFrame, now: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", change.alias("change")).where("change IS NOT NULL")
 
 
+def read_cache(spark: SparkSession, state_dir: str | None) -> DataFrame:
+    """The hash cache that a former run has left in ``state_dir``; an empty one if there is none."""
+    path = f"{state_dir}/hash_cache"
+    if state_dir is None or not storage.exists(spark, path):
+        return storage.empty(spark, HASH_CACHE)
+    return spark.read.schema(HASH_CACHE).parquet(path)
+
+
 def run_all(spark: SparkSession, statements: list[str], workers: int = 4) -> list[DataFrame]:
-    """Results of SQL statements, run side by side, in their order; a failing one raises."""
+    """Results of SQL statements, run side by side and stored, in their order; a failing one raises."""
 
     def one(statement: str) -> DataFrame:
-        df = spark.sql(statement)
-        return spark.createDataFrame(df.collect(), df.schema)
+        return storage.materialized(spark.sql(statement), "statement")
 
     with ThreadPoolExecutor(workers) as pool:
         return list(pool.map(one, statements))
 
 
-def compact(spark: SparkSession, source: str, target: str, files: int = 1) -> None:
-    """A stored table rewritten in fewer files."""
-    spark.read.parquet(source).coalesce(files).write.mode("overwrite").parquet(target)
+def compact(spark: SparkSession, source: str, target: str, file_bytes: int = 128 << 20) -> None:
+    """A stored table rewritten in files of about ``file_bytes``."""
+    files = max(1, -(-storage.size_of(spark, source) // file_bytes))
+    spark.read.parquet(source).repartition(files).write.mode("overwrite").parquet(target)
+
+
+def analyze(spark: SparkSession, table: str) -> None:
+    """Statistics of a table in the catalog, and of its columns, for the optimizer."""
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import has_hash, strategy
+from ..functions.hashing import strategy
 from .duplicates import groups, with_locations
 from .folders import folder_duplication
 
@@ -19,7 +18,7 @@ LAST_BAND = "> 1GB"
 
 def duplicate_report(files: DataFrame) -> DataFrame:
     """One row over groups of equal hash and size; the kept copy counts among the files, and sums are null without duplicates."""
-    g = files.where(has_hash()).groupBy("hash", "size").agg(F.count("*").alias("n")).where("n > 1")
+    g = files.groupBy("hash", "size").agg(F.count("*").alias("n"), F.max(F.length("hash")).alias("_known")).where("n > 1 AND _known > 0")
     return g.agg(
         F.countDistinct("hash").alias("unique_duplicates"),
         F.sum("n").alias("total_duplicate_files"),
@@ -72,11 +71,24 @@ def export_csv(files: DataFrame, path: str) -> None:
 
 
 def export_json(files: DataFrame, folders: DataFrame, path: str) -> None:
-    """One JSON file on the driver, as a report for people: its size is that of the result."""
-    from .duplicates import summary
+    """One JSON file on the driver, as a report for people. It is written row by row as rows arrive, in order."""
+    from .duplicates import members, summary
 
     total = summary(files).first()
-    found = [{"hash": r["hash"], "size": r["size"], "count": r["n_files"], "files": list(r["files"])} for r in with_locations(files).orderBy(F.desc("wasted"), F.desc("size"), "hash").toLocalIterator()]
-    stats = {r["path"]: r["duplication_percentage"] for r in folder_duplication(files, folders).toLocalIterator()}
-    report = {"total_duplicates": total["total_duplicates"], "total_wasted_space": total["total_wasted"], "duplicate_groups": found, "folder_stats": stats}
-    Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False))
+    waste = F.col("size") * (F.col("n_files") - 1)
+    rows = members(files).select("hash", "size", "n_files", "path").orderBy(F.desc(waste), F.desc("size"), "hash", "path")
+    text = lambda x: json.dumps(x, ensure_ascii=False)
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(f'{{\n"total_duplicates": {total["total_duplicates"]},\n"total_wasted_space": {total["total_wasted"]},\n"duplicate_groups": [')
+        now = None
+        for r in rows.toLocalIterator():
+            if r["hash"] != now:
+                out.write("" if now is None else "]},")
+                out.write(f'\n{{"hash": {text(r["hash"])}, "size": {r["size"]}, "count": {r["n_files"]}, "files": [{text(r["path"])}')
+                now = r["hash"]
+            else:
+                out.write(f', {text(r["path"])}')
+        out.write(("" if now is None else "]}") + '],\n"folder_stats": {')
+        for i, r in enumerate(folder_duplication(files, folders).toLocalIterator()):
+            out.write(f'{"," if i else ""}\n{text(r["path"])}: {r["duplication_percentage"]}')
+        out.write("}\n}\n")

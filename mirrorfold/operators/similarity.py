@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import has_hash
+from ..storage import materialized
 
 
 def folder_hashes(files: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def similar_folders(files: DataFrame, threshold: float = 70.0) -> DataFrame:
     hash that lies in every folder (the empty file) makes no pairs by itself, and folders of too different sizes
     make none. At zero or below every pair qualifies, disjoint ones included, and the result is all pairs.
     """
-    fh = folder_hashes(files)
+    fh = materialized(folder_hashes(files), "folder-hashes")  # read several times below
     sizes = fh.groupBy("folder").agg(F.count("*").alias("n"))
     if threshold <= 0:
         a, b = sizes.select(F.col("folder").alias("folder_a"), F.col("n").alias("na")), sizes.select(F.col("folder").alias("folder_b"), F.col("n").alias("nb"))

@@ -23,6 +23,12 @@ def profile(storage: str = "auto") -> dict[str, str]:
     return dict(PROFILES[storage])
 
 
+def apply_profile(spark: SparkSession, storage: str = "auto") -> None:
+    """Settings for a kind of storage, for the queries that this session runs from now on."""
+    for key, value in profile(storage).items():
+        spark.conf.set(key, value)
+
+
 @contextmanager
 def job_group(spark: SparkSession, name: str, description: str) -> Iterator[None]:
     """Jobs started inside belong to a group that another thread can cancel."""

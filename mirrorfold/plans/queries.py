@@ -21,10 +21,12 @@ from ..operators import incremental as I
 from ..operators import reports as R
 from ..operators import similarity as S
 from ..sources import tables
+from ..storage import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 LOW, HIGH = 1000, 3000
+SIZE = 416
 MIN_SIZE = 2000
 SIMILAR = 10.0
 TIERS = (1024, 16_384)
@@ -35,25 +37,34 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hashed(spark: SparkSession, sf: str) -> DataFrame:
+    """For results that read the files once."""
     return D.hashed(manifest(spark, sf))
 
 
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """For results that read the files several times: content is read and hashed once."""
+    return materialized(hashed(spark, sf), "hashed")
+
+
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return D.hashed_candidates(manifest(spark, sf))
+    return materialized(D.hashed_candidates(manifest(spark, sf)), "candidates")
 
 
 def _slim(spark: SparkSession, sf: str) -> DataFrame:
     return manifest(spark, sf).drop("content")
 
 
+def _stored_slim(spark: SparkSession, sf: str) -> DataFrame:
+    return materialized(_slim(spark, sf), "manifest")
+
+
 def _with_time(df: DataFrame) -> DataFrame:
     """Seconds instead of a timestamp: the same number in every engine."""
     return df.withColumn("last_modified", F.unix_timestamp("last_modified"))
 
 
-def _cache(spark: SparkSession, sf: str) -> DataFrame:
+def _cache_of(f: DataFrame) -> DataFrame:
     """A hash cache of all files, in which the entry of every third one is out of date."""
-    f = hashed(spark, sf)
     stale = F.regexp_extract("name", r"^(\d+)", 1).cast("long") % 3 == 0
     return f.select("path", F.when(stale, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "last_modified", F.lit("sha256").alias("algorithm"), F.lit("full").alias("kind"), "hash")
 
@@ -71,15 +82,29 @@ def _renamed(spark: SparkSession, sf: str) -> DataFrame:
     return f.select(F.concat("folder", F.lit("/"), name).alias("path"), "size")
 
 
+def _openings(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as files that hold the first 14 characters of each."""
+    c = tables.conversations(spark, sf)
+    head = F.encode(F.substring(F.decode("content", "UTF-8"), 1, 14), "UTF-8")
+    return c.withColumn("content", head).withColumn("size", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long"))
+
+
+def q_files_of_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with the hash that wastes most."""
+    f = stored(spark, sf)
+    most = D.ranked_by_waste(f, 1).first()
+    return P.of_hash(f, most["hash"] if most else "").select("path", "size", "hash")
+
+
 def q_hardlinks(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.walker import hardlinks
 
-    return hardlinks(_inodes(spark, sf)).select("path", "inode", "hardlink_to")
+    return hardlinks(materialized(_inodes(spark, sf), "inodes")).select("path", "inode", "hardlink_to")
 
 
 def q_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """New rows for all files whose size repeats, twice, and copies of all below another root."""
-    f = _with_time(_slim(spark, sf)).select("path", "size", "last_modified")
+    f = _with_time(_stored_slim(spark, sf)).select("path", "size", "last_modified")
     new = D.size_candidates(f).select("path", (F.col("size") * 10).alias("size"), "last_modified")
     twice = new.unionByName(new.withColumn("size", F.col("size") - 1)).unionByName(f.select(F.concat(F.lit("/new"), "path").alias("path"), "size", "last_modified"))
     return I.upsert(f, twice)
@@ -87,9 +112,10 @@ def q_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_cache_update(spark: SparkSession, sf: str) -> DataFrame:
     """The cache after all misses have been hashed."""
-    cache = _cache(spark, sf)
-    misses = I.cache_misses(_slim(spark, sf).select("path", "size", "last_modified"), cache).select("path")
-    return I.updated_cache(cache, hashed(spark, sf).join(misses, "path", "left_semi")).select("path", "size", "hash")
+    f = stored(spark, sf)
+    cache = _cache_of(f)
+    misses = I.cache_misses(f.select("path", "size", "last_modified"), cache).select("path")
+    return I.updated_cache(cache, f.join(misses, "path", "left_semi")).select("path", "size", "hash")
 
 
 def q_update_hashes(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +125,7 @@ def q_update_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_manifest_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Small files have come, large ones are gone, and those between have grown if their size repeats."""
-    f = _slim(spark, sf).select("path", "size", "last_modified")
+    f = _stored_slim(spark, sf).select("path", "size", "last_modified")
     grown = D.size_candidates(f).select("path", F.lit(1).alias("more"))
     now = f.join(grown, "path", "left").select("path", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), "last_modified", F.col("size").alias("was")).where(F.col("was") <= HIGH).drop("was")
     return I.manifest_diff(P.at_least(f, LOW), now)
@@ -112,11 +138,11 @@ def q_format_size(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_preview(spark: SparkSession, sf: str) -> DataFrame:
-    return D.preview(hashed(spark, sf)).select("hash", "n_files", "wasted", F.array_join("shown", "|").alias("shown"), "more")
+    return D.preview(stored(spark, sf)).select("hash", "n_files", "wasted", F.array_join("shown", "|").alias("shown"), "more")
 
 
 def q_locations(spark: SparkSession, sf: str) -> DataFrame:
-    return R.csv_rows(hashed(spark, sf)).select(F.col("Hash").alias("hash"), F.col("Size").alias("size"), F.col("Count").alias("n_files"), F.col("Files").alias("files"))
+    return R.csv_rows(stored(spark, sf)).select(F.col("Hash").alias("hash"), F.col("Size").alias("size"), F.col("Count").alias("n_files"), F.col("Files").alias("files"))
 
 
 def q_partial_positions(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,7 +153,7 @@ def queries() -> dict[str, Query]:
     return {
         "duplicate_groups": lambda s, d: D.groups(hashed(s, d)),
         "dup_sizes": lambda s, d: D.duplicate_sizes(_slim(s, d)),
-        "size_candidates": lambda s, d: D.size_candidates(_slim(s, d)).select("path", "size"),
+        "size_candidates": lambda s, d: D.size_candidates(_stored_slim(s, d)).select("path", "size"),
         "unique_sizes": lambda s, d: D.unique_sizes(_slim(s, d)),
         **{f"dup_hashes_{a}": lambda s, d, a=a: D.duplicate_hashes(D.hashed(manifest(s, d), EngineConfig(algorithm=a))) for a in ("sha256", "sha1", "md5", "sha512")},
         "quick_hash": lambda s, d: manifest(s, d).select("path", H.quick_hash("content").alias("quick_hash")),
@@ -139,46 +165,47 @@ def queries() -> dict[str, Query]:
         "two_stage_groups": lambda s, d: D.groups(D.funnel(manifest(s, d))),
         "hash_tiers": lambda s, d: D.hash_tiers(manifest(s, d), *TIERS),
         "strategy_choice": lambda s, d: R.strategy_choice(_slim(s, d)),
-        "dup_members": lambda s, d: D.members(hashed(s, d)).select("hash", "size", "path", "n_files"),
-        "dup_members_larger": lambda s, d: D.members(hashed(s, d), MIN_SIZE).select("hash", "size", "path", "n_files"),
+        "dup_members": lambda s, d: D.members(stored(s, d)).select("hash", "size", "path", "n_files"),
+        "dup_members_larger": lambda s, d: D.members(stored(s, d), MIN_SIZE).select("hash", "size", "path", "n_files"),
         "min_size_groups": lambda s, d: D.groups(P.at_least(hashed(s, d), MIN_SIZE)),
         "summary": lambda s, d: D.summary(hashed(s, d)),
         "analysis_summary": lambda s, d: R.analysis_summary(hashed(s, d)),
         "top10_wasted": lambda s, d: D.ranked_by_waste(hashed(s, d)),
         "group_preview": q_preview,
         "export_csv_rows": q_locations,
-        "export_json_rows": lambda s, d: R.json_rows(hashed(s, d)),
+        "export_json_rows": lambda s, d: R.json_rows(stored(s, d)),
         "keep_recommendation": lambda s, d: D.keep_recommendation(hashed(s, d)),
-        "delete_candidates": lambda s, d: D.delete_candidates(hashed(s, d)),
+        "delete_candidates": lambda s, d: D.delete_candidates(stored(s, d)),
         "folder_manifest": lambda s, d: O.folder_manifest(_slim(s, d)),
-        "folder_duplication": lambda s, d: O.folder_duplication(hashed(s, d)),
-        "folder_stats_full": lambda s, d: O.folder_stats(hashed(s, d)),
-        "folder_threshold": lambda s, d: O.folder_duplication(hashed(s, d), threshold=15.0),
+        "folder_duplication": lambda s, d: O.folder_duplication(stored(s, d)),
+        "folder_stats_full": lambda s, d: O.folder_stats(stored(s, d)),
+        "folder_threshold": lambda s, d: O.folder_duplication(stored(s, d), threshold=15.0),
         "folder_duplication_nonempty": lambda s, d: O.nonempty_folder_duplication(candidates(s, d)),
         "overall_statistics": lambda s, d: O.overall_statistics(candidates(s, d)),
-        "scan_totals": lambda s, d: R.scan_totals(_slim(s, d), O.folder_manifest(_slim(s, d))),
+        "scan_totals": lambda s, d: (lambda f: R.scan_totals(f, O.folder_manifest(f)))(_stored_slim(s, d)),
         "folder_hash_sets": lambda s, d: S.folder_hashes(candidates(s, d)),
         "similar_folders_candidates": lambda s, d: S.similar_folders(candidates(s, d), SIMILAR),
-        "similar_folders_all": lambda s, d: S.similar_folders(hashed(s, d), 1.0),
+        "similar_folders_all": lambda s, d: S.similar_folders(stored(s, d), 1.0),
         "similar_folders_zero_threshold": lambda s, d: S.similar_folders(candidates(s, d), 0.0),
         "top_similar_folders": lambda s, d: S.top_similar(candidates(s, d), 1.0),
         "dup_report": lambda s, d: R.duplicate_report(hashed(s, d)),
         "size_distribution": lambda s, d: R.size_distribution(_slim(s, d)),
         "size_range": lambda s, d: P.size_range(_slim(s, d), LOW, HIGH).select("path", "size"),
         "files_in_folder": lambda s, d: _with_time(P.in_folder(_slim(s, d), "/src1/en")),
-        "files_of_size": lambda s, d: P.of_size(_slim(s, d), 1000).select("path", "size"),
+        "files_of_size": lambda s, d: P.of_size(_slim(s, d), SIZE).select("path", "size"),
+        "files_of_hash": q_files_of_hash,
         "folder_by_path": lambda s, d: P.by_path(O.folder_manifest(_slim(s, d)), "/src1"),
         "ignore_globs": lambda s, d: P.not_ignored(_renamed(s, d)),
         "hardlinks": q_hardlinks,
         "format_size": q_format_size,
-        "incremental_misses": lambda s, d: I.cache_misses(_slim(s, d).select("path", "size", "last_modified"), _cache(s, d)).select("path", "size"),
-        "cache_statistics": lambda s, d: I.cache_statistics(_slim(s, d), _cache(s, d)),
+        "incremental_misses": lambda s, d: (lambda f: I.cache_misses(f.select("path", "size", "last_modified"), _cache_of(f)).select("path", "size"))(stored(s, d)),
+        "cache_statistics": lambda s, d: (lambda f: I.cache_statistics(f.drop("hash"), _cache_of(f)))(stored(s, d)),
         "cache_update": q_cache_update,
         "upsert_by_path": q_upsert,
         "update_hashes": q_update_hashes,
         "manifest_diff": q_manifest_diff,
-        "conversation_groups": lambda s, d: D.groups(D.hashed(tables.conversations(s, d))),
-        "conversation_folders": lambda s, d: O.folder_stats(D.hashed(tables.conversations(s, d))),
+        "conversation_groups": lambda s, d: D.groups(D.hashed(_openings(s, d))),
+        "conversation_folders": lambda s, d: O.folder_stats(materialized(D.hashed(tables.conversations(s, d)), "hashed")),
         "page_folders": lambda s, d: O.folder_manifest(tables.pages(s, d).drop("content")),
     }
 
@@ -295,7 +322,8 @@ def oracle_sql() -> dict[str, str]:
         "size_distribution": _with(FILES_SQL, _band_sql()),
         "size_range": _with(FILES_SQL, f"SELECT path, size FROM f WHERE size BETWEEN {LOW} AND {HIGH}"),
         "files_in_folder": _with(FILES_SQL, "SELECT path, name, folder, size, last_modified FROM f WHERE folder = '/src1/en'"),
-        "files_of_size": _with(FILES_SQL, "SELECT path, size FROM f WHERE size = 1000"),
+        "files_of_size": _with(FILES_SQL, "SELECT path, size FROM f WHERE size = 416"),
+        "files_of_hash": _with(HASHED_SQL, f"SELECT path, size, hash FROM h WHERE hash = (SELECT hash FROM ({GROUPS}) ORDER BY wasted DESC, size DESC, hash LIMIT 1)"),
         "folder_by_path": _with(FILES_SQL, FOLDERS_SQL, "SELECT * FROM fm WHERE path = '/src1'"),
         "ignore_globs": _with(FILES_SQL, "SELECT CASE WHEN doc_id % 7 = 4 THEN folder || '/' || doc_id || '.TMP' ELSE path END AS path, size FROM f WHERE doc_id % 7 > 3"),
         "hardlinks": _with(FILES_SQL, "SELECT path, '1:' || size AS inode, CASE WHEN path <> first_path THEN first_path END AS hardlink_to FROM (SELECT *, min(path) OVER (PARTITION BY size) AS first_path FROM f)"),
@@ -306,7 +334,7 @@ def oracle_sql() -> dict[str, str]:
         "upsert_by_path": _with(FILES_SQL, "SELECT path, CASE WHEN count(*) OVER (PARTITION BY size) > 1 THEN size * 10 ELSE size END AS size, last_modified FROM f UNION ALL SELECT '/new' || path, size, last_modified FROM f"),
         "update_hashes": _with(CANDIDATES_SQL, "SELECT path, size, coalesce(hash, 's' || size) AS hash FROM h"),
         "manifest_diff": _with(FILES_SQL, f"SELECT path, CASE WHEN size < {LOW} THEN 'added' WHEN size > {HIGH} THEN 'removed' ELSE 'changed' END AS change FROM (SELECT *, count(*) OVER (PARTITION BY size) AS n FROM f) WHERE size < {LOW} OR size > {HIGH} OR n > 1"),
-        "conversation_groups": _with(conv, "h AS (SELECT *, sha256(content) AS hash FROM f)", GROUPS),
+        "conversation_groups": _with(conv.replace("encode(text)", "encode(left(text, 14))"), "h AS (SELECT *, sha256(content) AS hash FROM f)", GROUPS),
         "conversation_folders": _with(conv, "h AS (SELECT *, sha256(content) AS hash FROM f)", conv_folders, STATS_SQL, "SELECT * FROM st"),
         "page_folders": _with(page, FOLDERS_SQL, "SELECT * FROM fm"),
     }

@@ -1,9 +1,10 @@
 """Scans of file trees as a Python data source.
 
-``spark.read.format("mirrorfold_walk")`` gives a row per folder, file and error. The driver lists the roots one
-level deep to make partitions; tasks walk the subtrees, so all executors must see the same file system. Ignored
-names are left out before anything else, and an ignored folder takes all below it along. Folders are reported
-even when empty. Errors become rows and the scan goes on.
+``spark.read.format("mirrorfold_walk")`` gives a row per folder, file and error. The driver lists folders breadth
+first until there are enough subtrees to share out, however deep these lie; tasks list the folders above them in
+batches and walk the subtrees, so all executors must see the same file system. Ignored names are left out before
+anything else, and an ignored folder takes all below it along. Folders are reported even when empty. Errors become
+rows and the scan goes on.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 import json
 import os
 import stat
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -21,23 +23,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.window import Window
 
 from ..config import EngineConfig
 from ..functions.arrow import map_arrow
 from ..functions.hashing import sample_positions
+from ..operators.joins import spread_join
 from ..schemas import WALK
 
 BUFFER = 8 << 20
+#: Subtrees that make a scan wide enough, folders that the driver lists at most, and folders listed by one task.
+SUBTREES, LISTED, BATCH = 256, 2048, 32
 
 
 @dataclass
-class Subtree(InputPartition):
-    """A directory to walk from a depth on, or a single file or missing path to report."""
+class Place:
+    """A directory to walk from a depth on or to list alone, or a single file or missing path to report.
+
+    ``above`` identifies the folders that lead to it, so that a link back up is known.
+    """
 
     path: str
     depth: int
     what: str
+    above: tuple = ()
+
+
+@dataclass
+class Places(InputPartition):
+    places: list[Place]
 
 
 class WalkReader(DataSourceReader):
@@ -67,18 +80,44 @@ class WalkReader(DataSourceReader):
             return folders, files, str(error)
         return folders, files, None
 
-    def partitions(self) -> list[Subtree]:
-        out = []
-        for root in self.roots:
-            root = os.path.abspath(root)
+    def partitions(self) -> list[Places]:
+        waiting: deque[Place] = deque()
+        alone, trees = [], []
+        most = self.config.max_depth
+        for root in map(os.path.abspath, self.roots):
             if os.path.isdir(root):
-                out.append(Subtree(root, 0, "top"))
-                most = self.config.max_depth
-                if self.recursive and (most is None or most >= 1):
-                    out += [Subtree(os.path.join(root, e.name), 1, "tree") for e in self._below(root)[0]]
+                waiting.append(Place(root, 0, "tree"))
             else:
-                out.append(Subtree(root, 0, "file" if os.path.isfile(root) else "missing"))
-        return out
+                alone.append(Place(root, 0, "file" if os.path.isfile(root) else "missing"))
+        listed = 0
+        while waiting and listed < LISTED and len(waiting) + len(trees) < SUBTREES:
+            place = waiting.popleft()
+            if not self.recursive or most is not None and place.depth >= most:
+                alone.append(Place(place.path, place.depth, "top", place.above))
+                continue
+            if self._inode(place.path) in place.above:
+                continue
+            below = self._below(place.path)[0]
+            listed += 1
+            above = self._chain(place)
+            alone.append(Place(place.path, place.depth, "top", place.above))
+            waiting += [Place(os.path.join(place.path, e.name), place.depth + 1, "tree", above) for e in below]
+        trees = [Places([p]) for p in waiting]
+        return [*trees, *(Places(alone[i : i + BATCH]) for i in range(0, len(alone), BATCH))]
+
+    def _inode(self, path: str) -> tuple | None:
+        """What a folder is known by; only followed links can lead back to one."""
+        if not self.config.follow_symlinks:
+            return None
+        try:
+            s = os.stat(path)
+        except OSError:
+            return None
+        return (s.st_dev, s.st_ino) if stat.S_ISDIR(s.st_mode) else None
+
+    def _chain(self, place: Place) -> tuple:
+        here = self._inode(place.path)
+        return place.above if here is None else (*place.above, here)
 
     @staticmethod
     def _file(path: str) -> tuple:
@@ -93,37 +132,32 @@ class WalkReader(DataSourceReader):
     def _folder(path: str) -> tuple:
         return ("folder", path, os.path.basename(path), os.path.dirname(path), None, None, None, None)
 
-    def read(self, part: Subtree) -> Iterator[tuple]:
-        if part.what == "missing":
-            yield ("error", part.path, None, None, None, None, None, "does not exist")
-        elif part.what == "file":
-            yield self._folder(os.path.dirname(part.path))
-            yield self._file(part.path)
-        else:
-            yield from self._walk(part)
+    def read(self, part: Places) -> Iterator[tuple]:
+        for place in part.places:
+            if place.what == "missing":
+                yield ("error", place.path, None, None, None, None, None, "does not exist")
+            elif place.what == "file":
+                yield self._folder(os.path.dirname(place.path))
+                yield self._file(place.path)
+            else:
+                yield from self._walk(place)
 
-    def _walk(self, part: Subtree) -> Iterator[tuple]:
+    def _walk(self, place: Place) -> Iterator[tuple]:
         most = self.config.max_depth
-        waiting = [(part.path, part.depth, ())]
+        waiting = [place]
         while waiting:
-            path, depth, above = waiting.pop()
-            if self.config.follow_symlinks:
-                try:
-                    s = os.stat(path)
-                except OSError:
-                    s = None
-                here = (s.st_dev, s.st_ino) if s is not None and stat.S_ISDIR(s.st_mode) else None
-                if here in above:  # a link back up
-                    continue
-                above = (*above, here)
-            folders, files, error = self._below(path)
-            yield self._folder(path)
+            now = waiting.pop()
+            if (here := self._inode(now.path)) is not None and here in now.above:  # a link back up
+                continue
+            folders, files, error = self._below(now.path)
+            yield self._folder(now.path)
             if error is not None:
-                yield ("error", path, None, None, None, None, None, error)
+                yield ("error", now.path, None, None, None, None, None, error)
             for e in files:
-                yield self._file(os.path.join(path, e.name))
-            if self.recursive and part.what == "tree" and (most is None or depth < most):
-                waiting += [(os.path.join(path, e.name), depth + 1, above) for e in reversed(folders)]
+                yield self._file(os.path.join(now.path, e.name))
+            if self.recursive and place.what == "tree" and (most is None or now.depth < most):
+                above = now.above if here is None else (*now.above, here)
+                waiting += [Place(os.path.join(now.path, e.name), now.depth + 1, "tree", above) for e in reversed(folders)]
 
 
 class WalkSource(DataSource):
@@ -175,8 +209,10 @@ def verify(manifest: DataFrame, algorithm: str = "sha256") -> DataFrame:
 
 def hardlinks(manifest: DataFrame) -> DataFrame:
     """``manifest`` with hardlink_to: the first path of the same inode, null for that one itself."""
-    first = F.min("path").over(Window.partitionBy("inode"))
-    return manifest.withColumn("hardlink_to", F.when(F.col("inode").isNotNull() & (first != F.col("path")), first))
+    linked = manifest.where("inode IS NOT NULL").groupBy("inode").agg(F.count("*").alias("n_files"), F.min("path").alias("_first")).where("n_files > 1")
+    has = spread_join(manifest.where("inode IS NOT NULL"), linked, ["inode"], "left")
+    has = has.withColumn("hardlink_to", F.when(F.col("_first") != F.col("path"), F.col("_first"))).drop("n_files", "_first")
+    return has.unionByName(manifest.where("inode IS NULL").withColumn("hardlink_to", F.lit(None).cast("string")))
 
 
 def read_hash(path: str, algorithm: str, kind: str, size: int = 1024, sample: int = 1 << 20) -> str:

@@ -282,14 +282,118 @@ def test_analysis_of_paths(spark, tree):
     assert rows(out.groups, "n_files") == [(2,)] and out.statistics.first().total_files == 3
 
 
-def test_command_line(spark, tree, tmp_path, capsys):
+def test_second_run_reads_only_what_changed(spark, tree, tmp_path_factory):
+    state = str(tmp_path_factory.mktemp("state"))
+    (tree / "subdir2" / "copy.txt").write_text("Content 1")
+    for i in range(3):
+        (tree / f"big{i}").write_bytes(b"s" * 5000 + bytes([48 + i // 2]))
+        (tree / f"huge{i}").write_bytes(b"h" * 40_000 + bytes([48 + i // 2]))
+    config = EngineConfig(state_dir=state, sampled_from=20_000, sample_size=1000)
+    first = analysis.analyze_paths(spark, [str(tree)], config)
+    assert rows(first.groups, "n_files", "wasted") == [(2, 9), (2, 5001), (2, 40001)]
+    kinds = defaultdict(int)
+    for r in first.read.collect():
+        kinds[r.kind] += 1
+    assert kinds == {"quick": 3, "sampled": 3, "full": 6 + 3 + 2}  # of the samples of huge files the last byte is one
+    again = analysis.analyze_paths(spark, [str(tree)], config)
+    assert again.read.count() == 0 and rows(again.files, "path", "hash") == rows(first.files, "path", "hash")
+    (tree / "file2.txt").write_text("Content 1")
+    os.utime(tree / "file2.txt", (1, 1))
+    third = analysis.analyze_paths(spark, [str(tree)], config)
+    assert rows(third.read, "path", "kind") == [(str(tree / "file2.txt"), "full")]
+    assert rows(third.groups, "n_files", "wasted") == [(2, 5001), (2, 40001), (3, 18)]
+    assert incremental.cache_statistics(third.files.drop("hash"), incremental.read_cache(spark, state)).first().hits == 11
+
+
+def test_deep_trees_are_shared_out(spark, tmp_path, monkeypatch):
+    deep = tmp_path / "a" / "b" / "c"
+    for i in range(40):
+        (deep / f"d{i}" / "e").mkdir(parents=True)
+        (deep / f"d{i}" / "e" / "f.txt").write_text("x")
+    reader = walker.WalkReader({"roots": json.dumps([str(tmp_path)])})
+    assert [len(p.places) for p in reader.partitions()] == [32, 32, 20]  # small: all folders are known, and listed in batches
+    monkeypatch.setattr(walker, "SUBTREES", 16)
+    assert sum(p.places[0].what == "tree" for p in reader.partitions()) == 40
+    w = walker.walk(spark, [str(tmp_path)])
+    assert walker.files(w).count() == 40 and walker.folders(w).count() == 84
+    reader = walker.WalkReader({"roots": json.dumps([str(tmp_path)]), "config": json.dumps({"max_depth": 3})})
+    found = [x[1] for p in reader.partitions() for x in reader.read(p) if x[0] == "folder"]
+    assert len(found) == len(set(found)) == 4
+
+
+@pytest.mark.parametrize("name", ["delete_candidates", "folder_stats_full", "similar_folders_candidates", "similar_folders_all", "cache_update", "dup_members", "keep_recommendation", "two_stage_groups"])
+def test_content_is_read_once(spark, small, name):
+    scans = spark.sparkContext.accumulator(0)
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    seen = F.udf(lambda text: scans.add(1) or text, "string")
+    old = Q.tables.documents
+
+    def counted(s, sf):
+        from mirrorfold.sources import tables
+
+        rows = d.withColumn("text", seen("text"))
+        return tables.from_columns(rows, F.concat(F.lit("/"), "source", F.lit("/"), "lang"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.encode("text", "UTF-8"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id")))
+
+    Q.tables.documents = counted
+    try:
+        Q.queries()[name](spark, small).collect()
+    finally:
+        Q.tables.documents = old
+    assert scans.value == d.count()
+
+
+def test_files_without_hash_or_inode(spark):
+    f = manifest(spark, {"/a/1": "aa", "/a/2": "aa", "/b/3": "bb"}).withColumn("hash", F.when(F.col("name") != "3", F.sha2("content", 256))).withColumn("inode", F.when(F.col("name") != "3", F.lit("1:1")))
+    assert rows(folders.marked(f), "path", "is_duplicate") == [("/a/1", True), ("/a/2", True), ("/b/3", False)]
+    assert rows(walker.hardlinks(f), "path", "hardlink_to") == [("/a/1", None), ("/a/2", "/a/1"), ("/b/3", None)]
+
+
+def test_tiers_are_confirmed(spark):
+    head, body = "h" * 1500, "x" * 9000
+    f = manifest(spark, {"/s1": "same", "/s2": "same", "/q1": head + "1", "/q2": head + "2", "/q3": head + "1", "/l1": body + "1" + body + body, "/l2": body + "2" + body + body, "/l3": body + "1" + body + body, "/n": None})
+    got = duplicates.hash_tiers(f, 100, 5000, sample=64)
+    assert rows(got, "tier", "size", "n_files") == [("full", 4, 2), ("quick", 1501, 2), ("sampled", 27001, 2)]
+
+
+def test_storage(spark, tmp_path):
+    from mirrorfold import storage
+
+    path = str(tmp_path / "table")
+    storage.replaced(spark.range(5), path)
+    storage.replaced(spark.read.parquet(path).where("id > 2"), path)
+    assert spark.read.parquet(path).count() == 2 and os.listdir(tmp_path) == ["table"]
+    incremental.compact(spark, path, str(tmp_path / "small"))
+    assert len(list((tmp_path / "small").glob("*.parquet"))) == 1
+    with storage.Scratch(spark) as scratch:
+        kept = storage.materialized(spark.range(3), "kept")
+        gone = storage.materialized(spark.range(3), "gone", scratch)
+        assert gone.count() == 3
+    assert kept.count() == 3 and not storage.exists(spark, gone.inputFiles()[0])
+    storage.clean(spark)
+    assert not storage.exists(spark, kept.inputFiles()[0])
+    spark.sql("CREATE TABLE analyzed USING parquet AS SELECT id FROM range(7)")
+    incremental.analyze(spark, "analyzed")
+    assert "7 rows" in str(spark.sql("DESCRIBE EXTENDED analyzed").where("col_name = 'Statistics'").collect())
+
+
+def test_command_line(spark, tree, tmp_path, tmp_path_factory, capsys):
+    state = str(tmp_path_factory.mktemp("state"))
     (tree / "subdir2" / "copy | one.txt").write_text("Content 1")
     out = tmp_path / "report.json"
-    assert cli.main([str(tree), "--export", str(out), "--all", "--find-similar", "1", "--stats", "--db", str(tmp_path / "state")]) == 0
+    assert cli.main([str(tree), "--export", str(out), "--all", "--find-similar", "1", "--stats", "--db", state]) == 0
     assert "waste 9 bytes" in capsys.readouterr().out
     report = json.loads(out.read_text())
     assert report["total_wasted_space"] == 9 and report["duplicate_groups"][0]["count"] == 2 and report["folder_stats"][str(tree / "subdir2")] == 50.0
-    assert spark.read.parquet(str(tmp_path / "state" / "files")).count() >= 6
+    assert spark.read.parquet(f"{state}/files").count() >= 6
+    out.unlink()
+    again = [str(tree), "--find-similar", "1", "--stats", "--db", state, "--storage", "ssd", "--workers", "2", "--no-progress", "--batch-size", "5"]
+    capsys.readouterr()
+    assert cli.main(again) == 0 and "\n0 reads" in capsys.readouterr().out
+    (tree / "new.txt").write_text("Content 1")
+    assert cli.main(again) == 0
+    out_ = capsys.readouterr().out
+    assert "1 added since the last run" in out_ and "\n1 reads" in out_
+    assert cli.master(cli.parser().parse_args(["x", "--workers", "3"])) == "local[3]" and cli.master(cli.parser().parse_args(["x"])) == "local[*]"
     assert cli.main([str(tree), "--export", str(tmp_path / "csv"), "--export-format", "csv", "--min-size", "5"]) == 0
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["Hash", "Size", "Count", "Files"]
     assert cli.main([str(tree / "nowhere")]) == 1
