@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Scratch as Scratch
+from ..storage import clean as clean
+from ..storage import materialized as materialized
+from ..storage import shared_dir as shared_dir
+
 #: A side of at most this size is broadcast, as by Spark's own default; beyond it the join is shuffled.
 BROADCAST_BYTES = 10 << 20
 #: Labelled documents that are sent to look up their texts.
@@ -23,68 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the storage that all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder takes its place on
-    one machine, and a folder in the warehouse on a cluster, for executors share no local folder.
-    """
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_mirrorfold"
-    if not base:
-        base = tempfile.mkdtemp(prefix="mirrorfold-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    _live.append(path)
-    return path
-
-
-#: Folders given out and not yet deleted.
-_live: list[str] = []
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete all tables that operators have stored and left, as results still read from them. Those results end with it."""
-    while _live:
-        removed(spark, _live.pop())
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a folder wherever Spark can write."""
-    if path in _live:
-        _live.remove(path)
-    sc = spark.sparkContext
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-
-class Scratch:
-    """Tables that only serve until the ``with`` block ends; what is read after it must be stored without one, until ``clean``."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        for path in self.paths:
-            removed(self.spark, path)
-        self.paths.clear()
-
-
-def materialized(df: DataFrame, purpose: str, scratch: Scratch | None = None) -> DataFrame:
-    """The rows written to shared storage and read back: lineage is cut, and a lost executor costs nothing."""
-    path = shared_dir(df.sparkSession, purpose)
-    if scratch is not None:
-        scratch.paths.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_bytes(df: DataFrame) -> int:
     """Upper estimate of a row's size in a hash relation, for columns of fixed size and for digests."""
     widths = {"boolean": 8, "int": 8, "bigint": 8, "double": 8, "string": 80, "binary": 48}

@@ -6,8 +6,11 @@ is accepted if it is right for most rows that it covers there; then the rows tha
 the next rule is learned. A row that no rule covers is good. The list becomes a chain of F.when, in order, so
 each verdict names the rule that gave it.
 
-Results for unusual rows: a null text counts as one without words, which the base rules reject; without both
-kinds of labels the list is empty and only the base rules reject; repeated rows get repeated results.
+Results for unusual rows: a null text counts as one without words, which the base rules reject; a very long text
+is held whole by one task, with its words; of conditions with equal gain the first in order of the features is
+taken; without both kinds of labels the list is empty and only the base rules reject; repeated rows get repeated
+results; an empty table gives an empty result; only ``keep`` and the text are read, so other columns may have any
+names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ entries where no continuation fits. A bitfield of failed positions keeps each po
 explored twice.
 
 Results for unusual rows: a null text counts as empty; an empty text gives the begin and end ids only and
-decodes to the empty text; repeated rows give repeated results; other columns of the input are kept.
+decodes to the empty text; of pieces with equal scores the leftmost merge comes first; a very long text is held
+whole by one task, with its ids; repeated rows give repeated results; an empty table gives an empty result; other
+columns of the input are kept, but for one that is named like the result, which is replaced.
 """
 
 from __future__ import annotations

@@ -7,9 +7,10 @@ first l segments together differ in at most l * limit / m bits, for every l. A c
 equal segment and one bit at most in the first two, which makes two exact keys (the equal segment, and one equal
 half of the next). Within a key the longer chain conditions prune what is left before the full comparison.
 
-Results for unusual rows: null and empty texts have fingerprint zero and link like any other; repeated rows
-share their component; the smallest id of a component ignores null ids (null if there is no other); an empty
-table gives an empty result.
+Results for unusual rows: null and empty texts have fingerprint zero and link like any other; a bit that is set in
+exactly half the hashes is 0; a very long text is held whole by one task, with its words; repeated rows share their
+component; the smallest id of a component ignores null ids (null if there is no other); an empty table gives an
+empty result; only ``keep``, the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

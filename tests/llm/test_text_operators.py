@@ -11,7 +11,7 @@ import xxhash
 
 from mirrorfold.llm import decision_list, license_scan, quality_ranker, sentencepiece_bpe, simhash
 from mirrorfold.llm.queries import piece_model_path
-from mirrorfold.llm.text_features import NAMES, base_counts
+from mirrorfold.llm.text_features import NAMES, base_counts, features
 
 ODD = [None, "", " ", "  \t\n", "a", "one two", "A b\x0bc\x0cd e", "é ß 日本 🙂", "x" * 3000, "same words here " * 400]
 SCHEMA = "doc_id long, text string, lang string, score double, key string, n_words string"
@@ -224,7 +224,7 @@ def test_ranker_and_rules_on_held_out_rows(spark):
     docs = frame(spark, [*texts, *ODD])
     labels = spark.createDataFrame([(i, q, None) for i, q in enumerate(quality)] + [(0, quality[0], 1), (None, 1, 1), (5000, 0, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     ranker = quality_ranker.fit_ranker(docs, labels)
-    got = quality_ranker.score_documents(docs.drop("score"), ranker).withColumn("held", quality_ranker.held_out()).collect()
+    got = quality_ranker.score_documents(docs, ranker).withColumn("held", quality_ranker.held_out()).collect()
     assert len(got) == len(texts) + len(ODD) and all(0 <= r.score <= 1 for r in got)
     held = [r for r in got if r.held and r.doc_id < len(texts)]
     assert len(held) > 100
@@ -242,11 +242,80 @@ def test_ranker_and_rules_on_held_out_rows(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_the_fit_is_the_least_loss():
+    rng = np.random.default_rng(6)
+    good, bad = rng.normal(0.4, 1, (300, len(NAMES))), rng.normal(0, 1.3, (90, len(NAMES)))
+    ranker = quality_ranker.fit_pairs(good, bad, 4000, 1e-3, 7)
+    d = quality_ranker.differences(good, bad, 4000, 7)[4]
+
+    def loss(w):
+        return np.mean([np.log1p(np.exp(-sum(a * b for a, b in zip(row, w, strict=True)))) for row in d.tolist()]) + 0.5e-3 * float(w @ w)
+
+    least = loss(ranker.weights)
+    for j in range(len(NAMES)):  # the loss is convex: where no small step lowers it, it is least
+        for step in (-1e-3, 1e-3):
+            moved = ranker.weights.copy()
+            moved[j] += step
+            assert loss(moved) > least
+    plain = np.zeros(len(NAMES))
+    for _ in range(3000):
+        p = 1 / (1 + np.exp(d @ plain))
+        plain += 0.3 * ((d * p[:, None]).mean(0) - 1e-3 * plain)
+    assert np.abs(plain - ranker.weights).max() < 1e-3
+
+
+def test_labels_of_ids_that_repeat(spark):
+    texts, quality = corpus(200)
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, q) for i, q in enumerate(quality)], "doc_id long, quality int")
+    x, y = quality_ranker.labelled_sample(docs, labels, "quality", 12_000)
+    twice = quality_ranker.labelled_sample(docs.unionByName(docs), labels, "quality", 12_000)
+    assert np.array_equal(x, twice[0]) and np.array_equal(y, twice[1])
+    some = [quality_ranker.labelled_sample(docs.repartition(n), labels, "quality", 50) for n in (1, 5)]
+    assert len(some[0][1]) == 50 and np.array_equal(some[0][0], some[1][0])
+
+
+def test_the_chain_gives_the_first_rule_that_holds(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((400, len(NAMES)))
+    rules = [[decision_list.Condition(NAMES[int(rng.integers(len(NAMES)))], bool(rng.integers(2)), float(rng.random())) for _ in range(int(rng.integers(1, 4)))] for _ in range(6)]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(x.tolist())], ", ".join(["doc_id long", *(f"{n} double" for n in NAMES)]))
+    got = {r.doc_id: r.rule for r in df.select("doc_id", decision_list.conditional(rules).alias("rule")).collect()}
+    for i, row in enumerate(x.tolist()):
+        values = dict(zip(NAMES, row, strict=True))
+        want = next((k for k, rule in enumerate(rules, 1) if all(values[c.name] > c.value if c.above else values[c.name] <= c.value for c in rule)), 0)
+        assert got[i] == want
+    texts, _ = corpus(120)
+    rules = [[decision_list.Condition("symbol_share", True, 0.1)], [decision_list.Condition("upper_share", True, 0.3), decision_list.Condition("log_words", False, 5.0)]]
+    for r in decision_list.judged(frame(spark, [*texts, *ODD]), rules).collect():
+        v = dict(zip(NAMES, features([*texts, *ODD][r.doc_id]), strict=True))
+        want = 1 if v["symbol_share"] > 0.1 else 2 if v["upper_share"] > 0.3 and v["log_words"] <= 5.0 else 0
+        assert r.base_failed or (r.rule, r.kept) == (want, want == 0)
+
+
+def test_very_long_texts(spark, library):
+    from mirrorfold.llm import secrets
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(1_300_000)) + " MIT License token=abcdefghijklmnop"
+    assert len(text) > 6_000_000
+    docs = frame(spark, [text, "x" * 7_000_000])
+    scanned = {r.doc_id: r for r in license_scan.scan_documents(docs).collect()}
+    assert (scanned[0].n_words, scanned[0].first_word, scanned[0].labels) == (1_300_004, 1_300_000, "mit") and scanned[1].n_words == 1
+    assert {r.doc_id: (r.n_assign, r.spans) for r in secrets.digests(docs).collect()} == {0: (1, f"assign:{len(text) - 22}:{len(text)}"), 1: (0, "")}
+    assert {r.doc_id: r.fp % 2**64 for r in simhash.with_fingerprints(docs).collect()} == {0: plain_fingerprint(text), 1: plain_fingerprint("x" * 7_000_000)}
+    assert {r.doc_id: r.n_words for r in decision_list.judged(docs, []).collect()} == {0: 1_300_003, 1: 1}
+    ids = library.encode(text, add_bos=True, add_eos=True)
+    got = {r.doc_id: r for r in sentencepiece_bpe.round_trip(docs, piece_model_path()).collect()}
+    assert got[0].n_tokens == len(ids) and got[0].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and got[1].decoded_sha256 == hashlib.sha256(b"x" * 7_000_000).hexdigest()
+
+
 def test_nothing_to_learn_from(spark):
     docs = frame(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     ranker = quality_ranker.fit_ranker(docs, none)
-    assert {r.score for r in quality_ranker.score_documents(docs.drop("score"), ranker).collect()} == {1.0}
+    assert {r.score for r in quality_ranker.score_documents(docs, ranker).collect()} == {1.0}
     assert decision_list.fit_rules(docs, none) == []
     assert decision_list.judged(docs, []).count() == len(ODD)
     assert decision_list.judged(frame(spark, []), []).count() == 0
