@@ -6,13 +6,17 @@ out for SQL; HASHED_SQL adds the hash of files whose size repeats.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
+from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import hashing as H
+from ..functions.arrow import map_arrow
 from ..functions.names import format_size
 from ..operators import duplicates as D
 from ..operators import filters as P
@@ -20,8 +24,9 @@ from ..operators import folders as O
 from ..operators import incremental as I
 from ..operators import reports as R
 from ..operators import similarity as S
-from ..sources import tables
-from ..storage import materialized
+from ..sources import tables, walker
+from ..storage import materialized, shared_dir
+from . import analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,9 +102,7 @@ def q_files_of_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_hardlinks(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources.walker import hardlinks
-
-    return hardlinks(materialized(_inodes(spark, sf), "inodes")).select("path", "inode", "hardlink_to")
+    return walker.hardlinks(materialized(_inodes(spark, sf), "inodes")).select("path", "inode", "hardlink_to")
 
 
 def q_upsert(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,6 +152,77 @@ def q_partial_positions(spark: SparkSession, sf: str) -> DataFrame:
     return manifest(spark, sf).select("path", H.partial_hash("content", positions=[(0, 16), (100, 64)]).alias("partial_hash"))
 
 
+def _tree(spark: SparkSession, sf: str) -> str:
+    """All files of the manifest, written as files below a folder that driver and executors share."""
+    root = urlparse(shared_dir(spark, "tree"))
+    if root.scheme not in ("", "file"):
+        raise ValueError(f"files can't be walked on {root.scheme}")
+    top = root.path
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                os.makedirs(os.path.dirname(top + path), exist_ok=True)
+                with open(top + path, "wb") as f:
+                    f.write(content.as_py() or b"")
+            yield batch.select(["path"])
+
+    map_arrow(manifest(spark, sf).select("path", "content"), write, "path string").write.format("noop").mode("overwrite").save()
+    return top
+
+
+def _below(column: str, top: str) -> F.Column:
+    """A path as seen from the top of the tree."""
+    return F.expr(f"substring({column}, {len(top) + 1})").alias(column)
+
+
+def q_walked_files(spark: SparkSession, sf: str) -> DataFrame:
+    top = _tree(spark, sf)
+    return walker.files(walker.walk(spark, [top])).select(_below("path", top), "name", _below("folder", top), "size")
+
+
+def q_walked_folders(spark: SparkSession, sf: str) -> DataFrame:
+    top = _tree(spark, sf)
+    return walker.folders(materialized(walker.walk(spark, [top]), "walked")).where(F.col("path") != top).select(_below("path", top), "name", "num_files", "total_size")
+
+
+def q_walked_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders (the top left out), files, errors, and files of the top alone."""
+    top = _tree(spark, sf)
+    w = materialized(walker.walk(spark, [top]), "walked")
+    flat = walker.files(walker.walk(spark, [top], recursive=False)).agg(F.count("*").alias("top_files"))
+    counts = w.agg(*(F.countDistinct(F.when(F.col("kind") == k, F.col("path"))).alias(c) for k, c in (("folder", "n_folders"), ("file", "n_files"), ("error", "n_errors"))))
+    return counts.withColumn("n_folders", F.col("n_folders") - 1).crossJoin(flat)  # one row each
+
+
+def q_walked_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree, some of its folders again, and one level alone: each file once."""
+    top = _tree(spark, sf)
+    several = walker.walk(spark, [top, f"{top}/src0", f"{top}/src1/en", f"{top}/nowhere"])
+    return walker.files(several).select(_below("path", top)).unionByName(walker.errors(several).select(_below("path", top)))
+
+
+def q_walked_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    top = _tree(spark, sf)
+    out = walker.files(walker.walk(spark, [top])).select("path")
+    for kind in ("full", "quick", "partial", "sampled"):
+        out = walker.with_hash(out, kind, column=kind, sample=1024)
+    even = F.length(_below("path", top)) % 2 == 0
+    return walker.verify(out.withColumn("hash", F.when(even, F.col("full")).otherwise("wronghash"))).select(_below("path", top), "full", "quick", "partial", "sampled", "ok")
+
+
+def q_walked_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.analyze_paths(spark, [_tree(spark, sf)]).groups
+
+
+def q_walked_again(spark: SparkSession, sf: str) -> DataFrame:
+    """Files read for digests by a first run, and by a second one that finds the first one's cache."""
+    top = _tree(spark, sf)
+    config = EngineConfig(state_dir=urlparse(shared_dir(spark, "state")).path)
+    runs = [analysis.analyze_paths(spark, [top], config).read.groupBy("kind").agg(F.count("*").alias("n_read"), F.sum("size").alias("size")).select(F.lit(run).alias("run"), "kind", "n_read", "size") for run in (1, 2)]
+    return runs[0].unionByName(runs[1])
+
+
 def queries() -> dict[str, Query]:
     return {
         "duplicate_groups": lambda s, d: D.groups(hashed(s, d)),
@@ -206,6 +280,13 @@ def queries() -> dict[str, Query]:
         "manifest_diff": q_manifest_diff,
         "conversation_groups": lambda s, d: D.groups(D.hashed(_openings(s, d))),
         "conversation_folders": lambda s, d: O.folder_stats(materialized(D.hashed(tables.conversations(s, d)), "hashed")),
+        "walked_files": q_walked_files,
+        "walked_folders": q_walked_folders,
+        "walked_counts": q_walked_counts,
+        "walked_roots": q_walked_roots,
+        "walked_hashes": q_walked_hashes,
+        "walked_groups": q_walked_groups,
+        "walked_again": q_walked_again,
         "page_folders": lambda s, d: O.folder_manifest(tables.pages(s, d).drop("content")),
     }
 
@@ -265,6 +346,14 @@ def _format_sql() -> str:
     return f"SELECT path, b AS bytes, CASE {' '.join(steps)} ELSE printf('%.2f PB', b / {float(1024**5)!r}) END AS text FROM (SELECT path, CAST(size * pow(64, size % 7) AS BIGINT) AS b FROM f)"
 
 
+#: Head, places spread by the golden ratio, tail; put together as hexadecimal digits.
+SAMPLED_SQL = (
+    "CASE WHEN size <= 3072 THEN sha256(content) ELSE sha256(unhex(hex(content[1:1024]) || array_to_string(list_transform(range(1, least(10, size // 1024)), "
+    "lambda i: hex(content[CAST(floor(fmod(CAST(size * i AS DOUBLE) * 1.618033988749895, CAST(size AS DOUBLE))) AS BIGINT) + 1 : least(CAST(floor(fmod(CAST(size * i AS DOUBLE) * 1.618033988749895, CAST(size AS DOUBLE))) AS BIGINT) + 1024, size)])), '') || hex(content[size - 1023:size]))) END"
+)
+PARTIAL_SQL = "CASE WHEN size <= 3072 THEN sha256(content) ELSE sha256(content[1:1024] || content[size // 2 + 1:size // 2 + 1024] || content[size - 1023:size]) END"
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ", ".join(parts[:-1]) + " " + parts[-1]
 
@@ -283,7 +372,19 @@ def oracle_sql() -> dict[str, str]:
         "dup_hashes_sha1": _dup_hashes("sha1"),
         "dup_hashes_md5": _dup_hashes("md5"),
         "quick_hash": _with(FILES_SQL, "SELECT path, sha256(content[1:1024]) AS quick_hash FROM f"),
-        "partial_hash": _with(FILES_SQL, "SELECT path, CASE WHEN size <= 3072 THEN sha256(content) ELSE sha256(content[1:1024] || content[size // 2 + 1:size // 2 + 1024] || content[size - 1023:size]) END AS partial_hash FROM f"),
+        "partial_hash": _with(FILES_SQL, f"SELECT path, {PARTIAL_SQL} AS partial_hash FROM f"),
+        "sampling_hash": _with(FILES_SQL, f"SELECT path, {SAMPLED_SQL} AS sampled_hash FROM f"),
+        "walked_files": _with(FILES_SQL, "SELECT path, name, folder, size FROM f"),
+        "walked_folders": _with(FILES_SQL, FOLDERS_SQL, "SELECT path, name, num_files, total_size FROM fm"),
+        "walked_counts": _with(FILES_SQL, FOLDERS_SQL, "SELECT (SELECT count(*) FROM every) AS n_folders, count(*) AS n_files, CAST(0 AS BIGINT) AS n_errors, CAST(0 AS BIGINT) AS top_files FROM f"),
+        "walked_roots": _with(FILES_SQL, "SELECT path FROM f UNION ALL SELECT '/nowhere'"),
+        "walked_hashes": _with(FILES_SQL, f"w AS (SELECT path, sha256(content) AS full, sha256(content[1:1024]) AS quick, {PARTIAL_SQL} AS partial, {SAMPLED_SQL} AS sampled FROM f)", "SELECT *, length(path) % 2 = 0 AS ok FROM w"),
+        "walked_groups": _with(HASHED_SQL, GROUPS),
+        "walked_again": _with(
+            FILES_SQL, "c AS (SELECT *, CASE WHEN size > 3072 THEN sha256(content[1:1024]) END AS quick FROM (SELECT *, count(*) OVER (PARTITION BY size) AS n FROM f) WHERE n > 1)",
+            "k AS (SELECT *, count(*) OVER (PARTITION BY size, quick) AS same FROM c)",
+            "SELECT 1 AS run, 'quick' AS kind, count(*) AS n_read, CAST(sum(size) AS BIGINT) AS size FROM k WHERE size > 3072 UNION ALL SELECT 1, 'full', count(*), CAST(sum(size) AS BIGINT) FROM k WHERE size <= 3072 OR same > 1",
+        ),
         "partial_hash_positions": _with(FILES_SQL, "SELECT path, sha256(content[1:16] || content[101:164]) AS partial_hash FROM f"),
         "verify_hash": _with(FILES_SQL, "SELECT path, size % 2 = 0 AS ok FROM f"),
         "two_stage_groups": _with(HASHED_SQL, GROUPS),
