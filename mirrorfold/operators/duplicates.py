@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..config import EngineConfig
 from ..functions.hashing import full_hash, has_hash, quick_hash, sampling_hash, tier
 from ..storage import materialized
-from .joins import spread_join
+from .joins import BROADCAST_BYTES, spread_join
 
 SLIM = ["path", "name", "folder", "size", "last_modified"]
 
@@ -125,11 +125,13 @@ def delete_candidates(files: DataFrame) -> DataFrame:
     return rows.where(F.col("path") != F.col("keep_path")).select("hash", "path", "size", "keep_path")
 
 
-def hash_tiers(files: DataFrame, full_below: int, quick_below: int, config: EngineConfig | None = None, sample: int = 1 << 20) -> DataFrame:
+def hash_tiers(files: DataFrame, full_below: int, quick_below: int, config: EngineConfig | None = None, sample: int = 1 << 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Duplicate groups by tier of size: (tier, hash, size, n_files).
 
     Small files are hashed in full, middle ones by their head and large ones by samples. Of the two last only
-    those that repeat by size and fingerprint are hashed in full in a second pass, which confirms them.
+    those that repeat by size and fingerprint are hashed in full in a second pass, which confirms them. Their list
+    is broadcast up to ``broadcast_bytes``; beyond, that pass hashes all of these tiers where it reads them, for
+    content is never shuffled.
     """
     config = config or EngineConfig()
     which = tier("size", full_below, quick_below)
@@ -140,9 +142,14 @@ def hash_tiers(files: DataFrame, full_below: int, quick_below: int, config: Engi
     open_ = spread_join(marked, repeats, ["size", "tier", "mark"], "left_semi")
     again = materialized(open_.where("tier <> 'full'").select("path", "tier"), "to-confirm")
     rows = open_.where("tier = 'full'").select("tier", F.col("mark").alias("hash"), "size")
-    if not again.isEmpty():
-        second = files.select("path", "size", "content").join(again, "path")
-        rows = rows.unionByName(second.select("tier", full_hash("content", config.algorithm).alias("hash"), "size"))
+    sent = again.agg(F.sum(F.octet_length("path") + 100)).first()[0]
+    if sent:
+        second, digest = files.where(which != "full"), full_hash("content", config.algorithm).alias("hash")
+        if sent <= broadcast_bytes:
+            second = second.join(F.broadcast(again), "path").select("tier", digest, "size")
+        else:
+            second = second.select("path", digest, "size").join(again.hint("merge"), "path").select("tier", "hash", "size")
+        rows = rows.unionByName(second)
     return rows.groupBy("tier", "hash").agg(F.min("size").alias("size"), F.count("*").alias("n_files")).where("n_files > 1")
 
 

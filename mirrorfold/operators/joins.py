@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key with more rows than this is spread over SALTS tasks. There are at most rows / HOT such keys.
 HOT, SALTS = 1_000_000, 64
+#: A side of at most this size is broadcast, as by Spark's own default.
+BROADCAST_BYTES = 10 << 20
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, count: str = "n_files", spread: str = "path", hot: int = HOT, salts: int = SALTS) -> DataFrame:

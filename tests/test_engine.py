@@ -127,7 +127,7 @@ def test_similar_folders(spark, threshold):
     got = sorted((r.folder_a, r.folder_b, r.similarity) for r in similarity.similar_folders(h, threshold).collect())
     want = plain_similar(files, threshold)
     assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
-    full = similarity.similar_folders(duplicates.hashed(manifest(spark, files)), threshold)
+    full = similarity.similar_folders(duplicates.hashed(manifest(spark, files)), threshold, crowd=3)
     assert sorted((r.folder_a, r.folder_b) for r in full.collect()) == [w[:2] for w in plain_similar(files, threshold, True)]
 
 
@@ -351,8 +351,9 @@ def test_files_without_hash_or_inode(spark):
 def test_tiers_are_confirmed(spark):
     head, body = "h" * 1500, "x" * 9000
     f = manifest(spark, {"/s1": "same", "/s2": "same", "/q1": head + "1", "/q2": head + "2", "/q3": head + "1", "/l1": body + "1" + body + body, "/l2": body + "2" + body + body, "/l3": body + "1" + body + body, "/n": None})
-    got = duplicates.hash_tiers(f, 100, 5000, sample=64)
-    assert rows(got, "tier", "size", "n_files") == [("full", 4, 2), ("quick", 1501, 2), ("sampled", 27001, 2)]
+    for limit in (1 << 20, 0):
+        got = duplicates.hash_tiers(f, 100, 5000, sample=64, broadcast_bytes=limit)
+        assert rows(got, "tier", "size", "n_files") == [("full", 4, 2), ("quick", 1501, 2), ("sampled", 27001, 2)]
 
 
 def test_storage(spark, tmp_path):
