@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import ship
+
 QUICK = 1024
 
 
@@ -84,6 +86,7 @@ def sample_positions(size: int, sample: int) -> list[tuple[int, int]]:
 
 def sampling_hash(content: Column | str, sample: int = 1 << 20, algorithm: str = "sha256") -> Column:
     """Digest of samples of a large content. Lossy: equal values need a full hash to confirm. An Arrow batch function."""
+    ship(SparkSession.active())
 
     def one(b: bytes | None) -> str | None:
         if b is None:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import EngineConfig
-from ..functions.arrow import map_arrow
+from ..functions.arrow import map_arrow, ship
 from ..functions.hashing import sample_positions
 from ..operators.joins import spread_join
 from ..schemas import WALK
@@ -175,6 +175,7 @@ class WalkSource(DataSource):
 def walk(spark: SparkSession, roots: list[str], config: EngineConfig | None = None, recursive: bool = True) -> DataFrame:
     """Rows of WALK for all roots: directories, single files (their folder holds them alone) or missing paths."""
     config = config or EngineConfig()
+    ship(spark)
     spark.dataSource.register(WalkSource)
     plain = {k: getattr(config, k) for k in ("max_depth", "follow_symlinks", "ignore_hidden", "ignore_globs")}
     return spark.read.format("mirrorfold_walk").option("roots", json.dumps(list(roots))).option("config", json.dumps(plain)).option("recursive", str(recursive).lower()).load()

@@ -447,3 +447,30 @@ def test_queries_equal_their_sql(spark, small, name):
     assert columns == sorted(df.columns)
     got = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
     assert got == sorted(map(repr, want.select(*columns).fetchall()))
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+from mirrorfold.operators.duplicates import hash_tiers
+from mirrorfold.plans.analysis import analyze_paths
+found = analyze_paths(spark, [{tree!r}]).groups.count()
+f = spark.range(2).select(F.concat(F.lit("/"), "id").alias("path"), F.encode(F.lit("x" * 500), "UTF-8").alias("content"), F.lit(500).cast("long").alias("size"))
+print("found", found, hash_tiers(f, 10, 20, sample=64).count())
+"""
+
+
+def test_workers_get_the_code_from_the_job(spark, tmp_path):
+    import subprocess
+    import sys
+
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    for name in "ab":
+        (tree / name).write_bytes(b"q" * 5000)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith(("SPARK_", "PYSPARK_GATEWAY"))}
+    script = ELSEWHERE.format(root=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), tree=str(tree))
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "found 1 1" in done.stdout, done.stderr[-2000:]
