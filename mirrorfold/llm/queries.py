@@ -52,9 +52,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranker = quality_ranker.fit_ranker(docs, table(spark, sf_dir, "labels"))
-    scored = quality_ranker.score_documents(docs, ranker)
+    found = materialized(quality_ranker.with_features(table(spark, sf_dir, "documents")), "features")
+    scored = quality_ranker.score_features(found, quality_ranker.fit_features(found, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality_ranker.held_out().alias("held_out"), "score", (F.col("score") >= quality_ranker.CUT).cast("int").alias("predicted"))
 
 

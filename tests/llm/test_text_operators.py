@@ -3,11 +3,13 @@
 import hashlib
 import random
 import struct
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from mirrorfold.llm import decision_list, license_scan, quality_ranker, sentencepiece_bpe, simhash
 from mirrorfold.llm.queries import piece_model_path
@@ -264,6 +266,51 @@ def test_the_fit_is_the_least_loss():
     assert np.abs(plain - ranker.weights).max() < 1e-3
 
 
+def test_the_fit_is_on_all_labels_and_all_pairs(spark):
+    texts, quality = corpus(700)
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(quality)), "doc_id long, quality int")
+    ranker = quality_ranker.fit_ranker(docs.repartition(5), labels)
+    again = quality_ranker.fit_ranker(docs.unionByName(docs).repartition(2), labels)
+    assert all(np.array_equal(getattr(ranker, k), getattr(again, k)) for k in ("mean", "scale", "weights", "threshold", "width"))
+    known = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([features(texts[i]) for i in known]), np.array([quality[i] for i in known])
+    assert np.allclose(ranker.mean, x.mean(0), atol=1e-9) and np.allclose(ranker.scale, np.maximum(x.std(0), 1e-6), atol=1e-9)
+    z = np.clip((x - ranker.mean) / ranker.scale, -8, 8)
+    d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, len(NAMES))  # every pair
+    p = 1 / (1 + np.exp(d @ ranker.weights))
+    assert np.abs(-(d * p[:, None]).mean(0) + 1e-3 * ranker.weights).max() < 1e-6  # no slope is left
+    s = np.sort(z @ ranker.weights)
+    share = (y == 0).mean()
+    window = s[max(0, int((share - 0.02) * len(s)) - 1) : max(2, int((share + 0.02) * len(s)) + 1)]
+    k = int(np.argmax(np.diff(window)))
+    assert abs(ranker.threshold - (window[k] + window[k + 1]) / 2) < 1e-6 and abs(ranker.width - s.std() / 4) < 1e-6
+    plain = quality_ranker.fit_pairs(x[y == 1], x[y == 0])
+    assert np.abs(plain.weights - ranker.weights).max() < 2e-6 and abs(plain.threshold - ranker.threshold) < 1e-5
+
+
+def test_no_label_is_left_out(spark):
+    n = 2 * quality_ranker.MAX_LABELLED
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    got = quality_ranker.labelled_features(quality_ranker.with_features(rows), labels, "quality").groupBy("goal").count().collect()
+    assert {r.goal: r["count"] for r in got} == Counter(i % 2 for i in range(n) if zlib.crc32(str(i).encode()) % 5)
+
+
+def test_the_widest_gap_is_that_of_the_sorted_values(spark):
+    from mirrorfold.llm.common import Scratch
+
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(size=500), np.repeat(rng.normal(size=40), 9), np.zeros(30), np.array([1.0, 2.0]), np.r_[np.zeros(50), 1.0]):
+        s = np.sort(values)
+        df = spark.createDataFrame([(float(v),) for v in values], "s double").repartition(3)
+        for first, last in ((0, 2), (len(s) // 3, len(s) // 2 + 2), (len(s) - 2, len(s) + 1)):
+            window = s[first:last]
+            k = int(np.argmax(np.diff(window)))
+            with Scratch(spark) as scratch:
+                assert quality_ranker.widest_gap(df, first, last, scratch) == (window[k] + window[k + 1]) / 2
+
+
 def test_labels_of_ids_that_repeat(spark):
     texts, quality = corpus(200)
     docs = frame(spark, texts)
