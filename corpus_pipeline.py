@@ -1,7 +1,8 @@
 """A corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
 1. quality: documents that the ranker rejects go.
-2. near_duplicates: one document of each group of near copies stays (five-word shingles, similarity 0.8).
+2. near_duplicates: one document of each group of near copies stays: operator 8's components and further candidates,
+   checked exactly (five-word shingles, similarity 0.8).
 3. secrets: spans of secrets are replaced in the text.
 4. mix: rows in the order of a schedule that gives each source its share; each row once.
 5. tokens: each text encoded and decoded; digests and counts per document.

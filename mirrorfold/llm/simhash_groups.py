@@ -1,11 +1,13 @@
-"""Groups of near-duplicate documents at a given shingle similarity, by SimHash and pigeonhole keys.
-
-Within ``limit`` bits of 64, SimHash finds copies that differ in a few words only; a Jaccard similarity of 0.8 on
-five-word shingles may cost 17 bits. So here segments are laid over the shingles instead of the fingerprint's bits.
-Single segments that agree are the keys; operator 8's chains of segments are not used or tested in this module:
-a hash deals the shingles of a text to m segments, and two sets that differ in at most t < m shingles agree
-altogether in some segment. t follows from the similarity and the size, m = t + 1, some four shingles in a
-segment. The first ``SEGMENTS`` segments serve as keys: of two texts at exactly the threshold a segment agrees
+"""Groups of near-duplicate documents at a given shingle similarity, by operator 8, pigeonhole keys and exact checks.
+
+Operator 8 comes first, with its own fingerprints, ring of segments, chains within proportional budgets, and
+components (``ring_members``): each of its components is a key here, and all pairs inside are open to the exact
+check, whatever their other fingerprints. Within ``limit`` bits of 64, that finds copies that differ in a few words
+only; a Jaccard similarity of 0.8 on five-word shingles may cost 17 bits. So for what is farther apart, segments
+are laid over the shingles beside the fingerprint's bits: a hash deals the shingles of a text to m segments, and
+two sets that differ in at most t < m shingles agree altogether in some segment. Single segments that agree are
+further keys; no chain is tested there, for a pair with t differences has but one valid start among all m segments.
+t follows from the similarity and the size, m = t + 1, some four shingles in a segment. The first ``SEGMENTS`` segments serve as keys: of two texts at exactly the threshold a segment agrees
 with a chance of e^-1 or more, so all keys of a pair fail with a chance of about 1e-4, and with less above it.
 
 Texts with a key in common are compared by 128-bit SimHash fingerprints; of the pairs that may be similar enough,
@@ -34,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import map_arrow
+from . import simhash
 from .common import Scratch, materialized, shuffled_join, sized_join
 from .components import components
 
@@ -124,7 +127,7 @@ def ring_keys(shingles: np.ndarray, similarity: float = SIMILARITY, segments: in
 
 
 def sketch(text: str | None, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[bytes, int, int, np.ndarray]:
-    """Node, the two halves of the 128-bit fingerprint, and ring keys."""
+    """Node, the two halves of the 128-bit fingerprint, and keys of the shingles."""
     node, d = shingle_digests(text, width)
     if not len(d):
         return node, 0, 0, np.zeros(0, np.int64)
@@ -138,18 +141,19 @@ def sketch(text: str | None, width: int = WIDTH, similarity: float = SIMILARITY)
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, kt, node, fa, fb, keys) per row; kt is the text's hash."""
+    """(doc_id, kt, node, fa, fb, keys, fp) per row; kt is the text's hash, fp operator 8's fingerprint."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("kt"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sketch(t.as_py(), width, similarity) for t in batch.column("text")]
+            fp = np.array([simhash.fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("kt"), pa.array([x[0] for x in found], pa.binary()), *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2)), pa.array([x[3] for x in found], pa.list_(pa.int64()))],
-                names=["doc_id", "kt", "node", "fa", "fb", "keys"],
+                [batch.column("doc_id"), batch.column("kt"), pa.array([x[0] for x in found], pa.binary()), *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2)), pa.array([x[3] for x in found], pa.list_(pa.int64())), pa.array(fp)],
+                names=["doc_id", "kt", "node", "fa", "fb", "keys", "fp"],
             )
 
-    return map_arrow(rows, run, "doc_id long, kt long, node binary, fa long, fb long, keys array<long>")
+    return map_arrow(rows, run, "doc_id long, kt long, node binary, fa long, fb long, keys array<long>, fp long")
 
 
 def node_words(column: pa.Array) -> np.ndarray:
@@ -177,6 +181,21 @@ def shared_keys(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return materialized(shuffled_join(keyed, materialized(sizes, "key-sizes", scratch), ["key"], "inner").select("key", "m", "node", "fa", "fb"), "shared-keys", scratch)
 
 
+def ring_members(nodes: DataFrame, scratch: Scratch, limit: int = simhash.LIMIT) -> DataFrame:
+    """(key, m, node, fa, fb), stored: a row for each node in a component of operator 8 that m > 1 nodes have.
+
+    Its links come from chains on the ring of the fingerprint's segments. The keys are odd, so that no other
+    fingerprint keeps a pair of a component from the exact check.
+    """
+    solid = nodes.where(F.col("node") != F.lit(EMPTY)).select("node", "fa", "fb", "fp")
+    fps = materialized(solid.select("fp").distinct(), "ring-fingerprints", scratch)
+    roots = components(simhash.links(fps, limit), scratch).withColumnRenamed("node", "fp")
+    named = sized_join(solid, roots, ["fp"]).withColumn("key", F.xxhash64(F.lit("ring"), F.coalesce("root", "fp")).bitwiseOR(F.lit(1)))
+    named = materialized(named.select("key", "node", "fa", "fb"), "ring-named", scratch)
+    sizes = materialized(named.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "ring-sizes", scratch)
+    return materialized(sized_join(named, sizes, ["key"], "inner").select("key", "m", "node", "fa", "fb"), "ring-members", scratch)
+
+
 def first_edges(shared: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """(u, v): in each key, edges from a member to the first and to the one before it in order of the fingerprints, within ``bits``.
 
@@ -381,10 +400,10 @@ def open_edges(members: DataFrame, sets: DataFrame, similarity: float, scratch:
 def whole_components(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, root) of the components of all pairs that share a key, are within the bits and pass the exact check.
 
-    The first edges join what is close. Then every pair of a key that still lies in two components is checked
+    Keys are operator 8's components, without limit of bits, and segments of shingles that agree. The first edges join what is close. Then every pair of a key that still lies in two components is checked
     where the sets of the key's members meet; only edges that join components leave the task.
     """
-    shared = shared_keys(nodes, scratch)
+    shared = ring_members(nodes, scratch).unionByName(shared_keys(nodes, scratch))
     sets = shingle_sets(docs, nodes, shared.select("node").distinct(), width, scratch)
     first = materialized(first_edges(shared), "first-edges", scratch)
     held = materialized(similar_edges(first, sets, similarity), "similar-edges", scratch)
@@ -508,7 +527,7 @@ def marked(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
     with Scratch(docs.sparkSession) as scratch:
         s = materialized(sketches(docs, width, similarity), "sketches", scratch)
         place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt")
-        nodes = s.groupBy("node").agg(F.min(place).alias("at"), F.first("fa").alias("fa"), F.first("fb").alias("fb"), F.first("keys").alias("keys"))
+        nodes = s.groupBy("node").agg(F.min(place).alias("at"), F.first("fa").alias("fa"), F.first("fb").alias("fb"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
         nodes = materialized(nodes, "nodes", scratch)
         roots = whole_components(docs, nodes, width, similarity, scratch)
         members = materialized(sized_join(nodes.select("node", "at"), roots, ["node"]).withColumn("root", F.coalesce("root", "node")), "members", scratch)

@@ -72,6 +72,42 @@ def test_groups_equal_those_of_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_the_chains_of_operator_8_find_links(spark, monkeypatch):
+    from mirrorfold.llm import simhash
+
+    texts = corpus()
+    rng = random.Random(5)
+    for _ in range(40):  # copies with a word more or less at the end
+        w = [f"w{rng.randrange(10**6)}" for _ in range(500)]
+        texts += [" ".join(w), " ".join(w[:-1]), " ".join([*w, "end"])]
+    fps = [simhash.fingerprint(t) for t in texts]
+    sets = [plain_set(t) for t in texts]
+    near, want = list(range(len(texts))), list(range(len(texts)))
+
+    def join(root, i, j):
+        a, b = root[i], root[j]
+        root[:] = [min(a, b) if x in (a, b) else x for x in root]
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 and sets[i] and sets[j] and near[i] != near[j]:
+                join(near, i, j)
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if near[i] == near[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9 and want[i] != want[j]:
+                join(want, i, j)
+    assert len(set(want)) < len(texts) - 100 and want != near
+    keys = simhash_groups.shared_keys
+    monkeypatch.setattr(simhash_groups, "shared_keys", lambda *a: keys(*a).where("false"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.root for r in simhash_groups.marked(docs).collect()}
+    first = {}
+    blank = next(i for i, x in enumerate(sets) if not x)
+    mine = [first.setdefault(bytes(got[i]), i) for i in range(len(texts))]
+    assert mine == [want[i] if sets[i] else blank for i in range(len(texts))]
+
+
 def test_repeats_of_a_line_are_near_copies(spark):
     rng = random.Random(31)
     texts = []
