@@ -268,6 +268,7 @@ def test_the_fit_is_the_least_loss():
 
 def test_the_fit_is_on_all_labels_and_all_pairs(spark):
     texts, quality = corpus(700)
+    quality = [1 - q if i % 9 == 0 else q for i, q in enumerate(quality)]  # labels that no weights can meet
     docs = frame(spark, texts)
     labels = spark.createDataFrame(list(enumerate(quality)), "doc_id long, quality int")
     ranker = quality_ranker.fit_ranker(docs.repartition(5), labels)
@@ -279,7 +280,7 @@ def test_the_fit_is_on_all_labels_and_all_pairs(spark):
     z = np.clip((x - ranker.mean) / ranker.scale, -8, 8)
     d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, len(NAMES))  # every pair
     p = 1 / (1 + np.exp(d @ ranker.weights))
-    assert np.abs(-(d * p[:, None]).mean(0) + 1e-3 * ranker.weights).max() < 1e-6  # no slope is left
+    assert np.abs(-(d * p[:, None]).mean(0) + 1e-3 * ranker.weights).max() < 1e-5  # no slope is left
     s = np.sort(z @ ranker.weights)
     share = (y == 0).mean()
     window = s[max(0, int((share - 0.02) * len(s)) - 1) : max(2, int((share + 0.02) * len(s)) + 1)]
