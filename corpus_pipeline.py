@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mirrorfold.functions.arrow import bound_batches
 from mirrorfold.llm import pfair, quality_ranker, secrets, sentencepiece_bpe, simhash_groups
 from mirrorfold.llm.common import Scratch, materialized, table
 from mirrorfold.llm.queries import piece_model_path
@@ -24,12 +25,16 @@ MIX_WEIGHTS = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     ranker = quality_ranker.fit_ranker(docs, table(spark, sf_dir, "labels"))
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return quality_ranker.score_documents(packed, ranker, "_score").where(F.col("_score") >= quality_ranker.CUT).select("_row.*")
+    score, taken = "_score", {c.lower() for c in docs.columns}
+    while score in taken:
+        score += "_"
+    return quality_ranker.score_documents(docs, ranker, score).where(F.col(score) >= quality_ranker.CUT).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return simhash_groups.one_of_each(docs)
 
 
@@ -42,6 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return sentencepiece_bpe.round_trip(docs, piece_model_path(), keep=("doc_id", "source"))
 
 

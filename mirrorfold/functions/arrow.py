@@ -14,9 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+#: Bytes of a batch on its way to a worker, by ``bound_batches``; a row that is larger makes a batch of its own.
+BATCH_BYTES = 2 << 20
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's batches end at ``BATCH_BYTES``, unless it has a bound of its own.
+
+    By rows alone, a batch of texts takes as much as a task reads: in the buffers of the executor, which keeps them
+    for later tasks, and in each worker. Batches of any size give the same results.
+    """
+    if _BOUND not in spark.conf.getAll:
+        spark.conf.set(_BOUND, str(BATCH_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers of the running application, once."""
     sc = spark.sparkContext

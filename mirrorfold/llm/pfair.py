@@ -179,7 +179,8 @@ def _order(docs: DataFrame) -> F.Column:
 def _bucketed(rows: DataFrame, p: Plan) -> DataFrame:
     """``rows`` with _bucket: buckets are ranges of the order, so ranks rise from bucket to bucket."""
     per_bucket = max(BUCKET, -(-p.total // BUCKETS))
-    known = rows.sparkSession.createDataFrame([(s, -(-n // per_bucket)) for s, n in p.counts.items()], "_source string, _buckets long")
+    # From an Arrow table, for a list of rows would start Python workers of another kind on each executor.
+    known = rows.sparkSession.createDataFrame(pa.table({"_source": pa.array(list(p.counts), pa.string()), "_buckets": pa.array([-(-n // per_bucket) for n in p.counts.values()], pa.int64())}))
     if len(p.counts) * row_bytes(known) <= BROADCAST_BYTES:
         known = F.broadcast(known)
     # The upper 31 of 60 bits, scaled to the number of buckets.

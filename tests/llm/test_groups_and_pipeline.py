@@ -282,3 +282,45 @@ def test_stages_on_empty_tables_and_nulls(spark, folder):
         if name != "tokens":
             assert out.columns == nulls.columns, name
     assert cp.near_duplicates(spark, nulls, path).count() == 2
+
+
+def test_texts_go_to_workers_once_and_in_bounded_batches(spark, folder, monkeypatch):
+    import corpus_pipeline as cp
+    import pyarrow as pa
+
+    from mirrorfold.functions.arrow import BATCH_BYTES
+    from mirrorfold.llm import quality_ranker
+
+    path, _ = folder
+    sent = []
+
+    def measured(df, function, schema):
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+        sent.append(df.mapInArrow(sizes, "n long, bytes long"))
+        return real(df, function, schema)
+
+    real = quality_ranker.map_arrow
+    monkeypatch.setattr(quality_ranker, "map_arrow", measured)
+    long = "some words to read " * 1000
+    docs = spark.range(0, 1000, 1, 1).selectExpr("id AS doc_id", f"'{long}' AS text", "id AS _score")
+    out = cp.quality(spark, docs, path)
+    assert out.columns == docs.columns
+    batches = sent[-1].collect()  # what the scores are taken of
+    assert sum(r.n for r in batches) == 1000
+    assert sum(r.bytes for r in batches) < 1.1 * 1000 * len(long)
+    assert max(r.bytes for r in batches) < BATCH_BYTES + 2 * len(long)
+
+
+def test_the_mix_makes_no_rows_in_python(spark, folder, monkeypatch):
+    import corpus_pipeline as cp
+
+    def refused(*_):
+        raise AssertionError("rows from Python start further workers on each executor")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", refused)
+    path, rows = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    assert cp.mix(spark, docs, path).count() == len(rows)
